@@ -71,15 +71,16 @@ def small_batches(batch: pa.RecordBatch, column: str, max_bytes: int = BYTES_PER
         yield batch.slice(start)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Spark hands over batches of so many rows, whatever their size: lower the session's number where it is above ours."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+
+
 def map_arrow(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str | None = None, max_bytes: int = BYTES_PER_STEP, max_rows: int = ROWS_PER_STEP) -> DataFrame:
-    """``mapInArrow`` which hands ``step`` batches of bounded text size.
-
-    Spark itself hands over batches of so many rows, whatever their size, so the
-    session's number is lowered where it is above ``ROWS_PER_BATCH``.
-    """
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ROWS_PER_BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    """``mapInArrow`` which hands ``step`` batches of bounded text size."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 
 import pyarrow as pa
@@ -74,6 +75,7 @@ def parse(page: str) -> Element:
     """The tree of a page; never fails, whatever the markup."""
     root = Element("#root")
     stack, at = [root], 0
+    opened: Counter[str] = Counter()  # open elements by name
     search, unescape = _TOKEN.search, html.unescape
     while True:
         m = search(page, at)
@@ -91,10 +93,11 @@ def parse(page: str) -> Element:
         if tag in INLINE:
             continue
         if m[1]:
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+            if not opened[tag]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    opened.subtract(e.tag for e in stack[i:])
                     del stack[i:]
                     break
                 if stack[i].tag in ("table", "article", "body") and tag in ("p", "li", "a"):
@@ -103,10 +106,10 @@ def parse(page: str) -> Element:
         if tag == "br":
             stack[-1].items.append(" ")
             continue
-        if tag in ENDS_P:
-            _close(stack, {"p"}, {"table", "td", "th", "button"})
-        if tag in IMPLIED:
-            _close(stack, *IMPLIED[tag])
+        if tag in ENDS_P and opened["p"]:
+            _close(stack, opened, {"p"}, {"table", "td", "th", "button"})
+        if tag in IMPLIED and any(opened[t] for t in IMPLIED[tag][0]):
+            _close(stack, opened, *IMPLIED[tag])
         element = Element(tag, m[3])
         stack[-1].items.append(element)
         if tag in VOID:
@@ -118,11 +121,13 @@ def parse(page: str) -> Element:
             continue
         if not m[3].endswith("/") or tag in BLOCKS:
             stack.append(element)
+            opened[tag] += 1
 
 
-def _close(stack: list[Element], tags: set[str], bounds: set[str]) -> None:
+def _close(stack: list[Element], opened: Counter[str], tags: set[str], bounds: set[str]) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
+            opened.subtract(e.tag for e in stack[i:])
             del stack[i:]
             return
         if stack[i].tag in bounds or (stack[i].tag in BLOCKS and stack[i].tag not in ("p", "div", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot")):

@@ -176,16 +176,16 @@ def training_rows(docs: DataFrame, text: str = "text", lang: str = "lang", key:
     return out
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, then lang_pred, score (the winner's posterior) and bits_per_byte (the winner's).
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """The columns ``keep``, then (as ``names`` say) lang_pred, score (the winner's posterior) and bits_per_byte (the winner's).
 
     The language of the shortest code wins, ties go to the first name.  A null
     text, one without a letter, or any text under a model of no language gets
     ``und`` with score 0 and null bits.  Rows stay one to one; whole texts count.
     """
     narrow = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]), "lang_pred string, score double, bits_per_byte double"])
-    names, shared = [*keep, "lang_pred", "score", "bits_per_byte"], docs.sparkSession.sparkContext.broadcast(model)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]), "`{}` string, `{}` double, `{}` double".format(*names)])
+    out_names, shared = [*keep, *names], docs.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -199,6 +199,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
         lang, prob, rate = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
         for j, i in enumerate(usable):
             lang[i], prob[i], rate[i] = shared.value.languages[best[j]], float(score[j]), float(least[j] / len(raw[j]))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(prob, pa.float64()), pa.array(rate, pa.float64())], names=names)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(prob, pa.float64()), pa.array(rate, pa.float64())], names=out_names)
 
     return map_arrow(narrow, schema, step, "__text", max_bytes=1 << 20, max_rows=4096)

@@ -101,15 +101,15 @@ def fuzzy_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(keys)
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The columns ``keep`` and ``fp`` (the fingerprint as a signed long)."""
+def with_fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle_words: int = SHINGLE_WORDS, name: str = "fp") -> DataFrame:
+    """The columns ``keep`` and ``name`` (the fingerprint as a signed long)."""
     narrow = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]), "fp bigint"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]), f"`{name}` bigint"])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [fingerprint(t, shingle_words) for t in batch.column(len(keep)).to_pylist()]
         fps = pa.array(np.array(found, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], names=[*keep, "fp"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], names=[*keep, name])
 
     return map_arrow(narrow, schema, step, "__text")
 
@@ -173,7 +173,7 @@ def keep_representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc
     kept = docs.join(chosen.where("n = 1 and __id is not null").select("__id"), docs[doc_id] == F.col("__id"), "left_semi")
     again = chosen.where("n > 1 or __id is null")
     if again.limit(1).count():
-        marked = with_fingerprint(docs, text, keep=tuple(docs.columns)).withColumn("__fp", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-        left = marked.join(again.select(F.col("__id").alias("__one"), F.col("__fp").alias("__print"), "root"), F.col(doc_id).eqNullSafe(F.col("__one")) & (F.col("__fp") == F.col("__print")))
-        kept = kept.unionByName(left.dropDuplicates(["root"]).select(*docs.columns))
+        marked = with_fingerprint(docs, text, keep=tuple(docs.columns), name="__fp64").withColumn("__fp", F.lower(F.lpad(F.hex("__fp64"), 16, "0")))
+        left = marked.join(again.select(F.col("__id").alias("__one"), F.col("__fp").alias("__print"), F.col("root").alias("__root")), F.col(doc_id).eqNullSafe(F.col("__one")) & (F.col("__fp") == F.col("__print")))
+        kept = kept.unionByName(left.dropDuplicates(["__root"]).select(*docs.columns))
     return kept

@@ -18,9 +18,9 @@ MOST_BITS = 8.0
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in none of the learned languages: null texts, texts without a letter, incompressible ones."""
     model = langid.train(langid.training_rows(docs))
-    columns = docs.columns
-    marked = langid.identify(docs.withColumn("__text", F.col("text")), model, "__text", keep=tuple(columns))
-    return marked.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < MOST_BITS)).select(*columns)
+    columns = tuple(docs.columns)
+    marked = langid.identify(docs, model, keep=columns, names=("__lang", "__score", "__bits"))
+    return marked.where((F.col("__lang") != "und") & (F.col("__bits") < MOST_BITS)).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow
@@ -160,19 +160,20 @@ def training_rows(docs: DataFrame, text: str = "text", lang: str = "lang", key:
     """A bounded sample of labelled rows: whole documents, those of the smallest hashes of ``key``, for each language."""
     h = F.xxhash64(F.lit("sample"), F.col(key).cast("string"))
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), h.alias("h")).where("lang is not null and text is not null")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not sizes:
+        return []
+    shares = {r.lang: min(1.0, 2.0 * most / r.n) for r in sizes}
+    limits = [(x, int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1) for x, share in shares.items()]
+    few = docs.sparkSession.createDataFrame(limits, "lang string, most bigint")  # a row for each language
+    usable = labelled.where(F.octet_length("text").between(1, SAMPLE_LONGEST)).join(F.broadcast(few), "lang").where("h <= most")
+    ranked = usable.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= most)
     out: list[tuple[str, str]] = []
-    usable = labelled.where(F.octet_length("text").between(1, SAMPLE_LONGEST))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for name in sorted(sizes):
-        share = min(1.0, 2.0 * most / sizes[name])
-        limit = int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1
-        rows = usable.where((F.col("lang") == name) & (F.col("h") <= F.lit(limit))).orderBy("h", "text").limit(most).collect()
-        total = 0
-        for r in rows:
-            total += len(r.text.encode())
-            if total > most_bytes and out and out[-1][0] == name:
-                break
-            out.append((name, r.text))
+    total: Counter[str] = Counter()
+    for r in sorted(ranked.select("lang", "r", "text").collect(), key=lambda r: (r.lang, r.r)):
+        if total[r.lang] < most_bytes:
+            out.append((r.lang, r.text))
+            total[r.lang] += len(r.text.encode())
     return out
 
 

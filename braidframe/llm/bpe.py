@@ -15,23 +15,28 @@ import gc
 import hashlib
 import heapq
 import json
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import bound_batches, small_batches
 
 #: Splitting pattern of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space beside a space.
 UNEVEN = regex.compile(r" \s|\s |^ | $").search
 #: Remembered stretches of a worker; the memory is emptied when it is full.
-MOST_PIECES = 600_000
+MOST_PIECES = 500_000
 #: Stretches longer than this are not remembered.
 LONGEST_KEPT = 256
+#: Bytes of texts whose new pieces are merged together, about.
+BYTES_TOGETHER = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -71,69 +76,82 @@ class Codec:
             made_at[made] = rank
             self.rank_of[a << 20 | b] = rank
             self.rules.append((a, b, made))
+        self.first_ids = np.array(self.byte_ids, np.int64)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        self.sizes = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for i, token in self.bytes_of.items():
+            self.sizes[i] = len(token)
+        self.names = [str(i) for i in range(len(self.sizes))]
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.find = regex.compile(PATTERN).findall
-        #: by stretch, with the space before it: (joined ids, number of ids, bytes which the ids decode to)
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.pairs = np.array(sorted(self.rank_of), np.int64)
+        self.pair_ranks = np.array([self.rank_of[k] for k in self.pairs.tolist()], np.int64)
+        #: by stretch, without the space before it: (joined ids, bytes which the ids decode to); apart for a text's first stretch
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.known_first: dict[str, tuple[str, bytes]] = {"": ("", b"")}
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece, all pieces merged together through the pair occurrence index.
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where there is none."""
+        code = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == code) & (left >= 0) & (right >= 0), self.pair_ranks[at], -1)
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and behind which of them each piece ends; merged together through the pair occurrence index.
 
         No merge makes a part of an earlier one (checked when the file is read),
         so a rank that has been applied never becomes active again.
         """
-        symbols: list[int] = []
-        for p in pieces:
-            symbols += map(self.byte_ids.__getitem__, p)
-            symbols.append(-1)  # no pair reaches over the end of a piece; the last one also stands before the first
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get, rules = self.rank_of.get, self.rules
-        index: dict[int, list[int]] = {}
-        for i, rank in enumerate([get(a << 20 | b) for a, b in zip(symbols, symbols[1:], strict=False)]):
-            if rank is not None:
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        ends = np.cumsum(lengths + 1) - 1
+        n = int(ends[-1]) + 1 if len(pieces) else 0
+        symbols = np.full(n + 1, -1, np.int64)  # no pair reaches over the end of a piece, nor before the first
+        inner = np.ones(n, bool)
+        inner[ends] = False
+        symbols[:n][inner] = self.first_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        index: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def enter(ranks: np.ndarray, positions: np.ndarray) -> None:
+            held = np.flatnonzero(ranks >= 0)
+            if not len(held):
+                return
+            held = held[np.argsort(ranks[held], kind="stable")]
+            ranks, positions = ranks[held], positions[held]
+            cuts = [*np.flatnonzero(np.diff(ranks)).tolist(), len(ranks) - 1]
+            start = 0
+            for rank, stop in zip(ranks[cuts].tolist(), cuts, strict=True):
                 if rank in index:
-                    index[rank].append(i)
+                    index[rank].append(positions[start : stop + 1])
                 else:
-                    index[rank] = [i]
-        active = list(index)
-        heapq.heapify(active)
+                    index[rank] = [positions[start : stop + 1]]
+                    heapq.heappush(active, rank)
+                start = stop + 1
+
+        enter(self.ranks(symbols[: n - 1], symbols[1:n]) if n else np.zeros(0, np.int64), np.arange(max(0, n - 1)))
         while active:
             rank = heapq.heappop(active)
-            a, b, made = rules[rank]
-            for i in sorted(index.pop(rank)):
-                if symbols[i] != a:
-                    continue
-                j = after[i]
-                if symbols[j] != b:  # listed in an earlier state
-                    continue
-                symbols[i], symbols[j] = made, -2
-                k = after[i] = after[j]
-                before[k] = i
-                h = before[i]
-                if (found := get(symbols[h] << 20 | made)) is not None:
-                    if found in index:
-                        index[found].append(h)
-                    else:
-                        index[found] = [h]
-                        heapq.heappush(active, found)
-                if (found := get(made << 20 | symbols[k])) is not None:
-                    if found in index:
-                        index[found].append(i)
-                    else:
-                        index[found] = [i]
-                        heapq.heappush(active, found)
-        out: list[list[int]] = []
-        ids: list[int] = []
-        for x in symbols:
-            if x >= 0:
-                ids.append(x)
-            elif x == -1:
-                out.append(ids)
-                ids = []
-        return out
+            a, b, made = self.rules[rank]
+            lists = index.pop(rank)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            at = at[(symbols[at] == a) & (symbols[after[at]] == b)]  # some are listed from an earlier state
+            if a == b and len(at) > 1:  # of a row of equal symbols every other pair, from the left
+                new = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(new, place, 0))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            symbols[at], symbols[gone] = made, -2
+            right = after[gone]
+            after[at] = right
+            before[right] = at
+            left = before[at]
+            enter(self.ranks(np.concatenate([symbols[left], np.full(len(at), made)]), np.concatenate([np.full(len(at), made), symbols[right]])), np.concatenate([left, at]))
+        left = symbols[:n] >= 0
+        return symbols[:n][left], np.cumsum(left)[ends]
 
     def split(self, text: str) -> list[str]:
         """Pieces of a text; a special token's string is a piece of its own."""
@@ -167,32 +185,89 @@ class Codec:
             return [text]
         return out
 
-    def encode_many(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
-        """For each text what its stretches encode to: (joined ids, number of ids, bytes which the ids decode to)."""
-        cut = [self.stretches(t) for t in texts]
-        known = self.known
-        new = list({s for c in cut for s in c if s not in known})
-        if not new:
-            return [[known[s] for s in c] for c in cut]
-        pieces = [self.split(s) for s in new]
-        found = iter(self.merge([p.encode("utf-8", "surrogatepass") for ps in pieces for p in ps if p not in self.special]))
-        fresh = {}
-        for s, ps in zip(new, pieces, strict=True):
-            ids = [i for p in ps for i in ([self.special[p]] if p in self.special else next(found))]
-            fresh[s] = (",".join(map(str, ids)), len(ids), self.decode_bytes(ids))
-        if len(known) + len(fresh) > MOST_PIECES:
-            fresh.update((s, known[s]) for c in cut for s in c if s in known)
+    def learn(self, stretches: list[str]) -> list[tuple[str, bytes]]:
+        """(joined ids, bytes which the ids decode to) of each stretch."""
+        pieces: list[str] = []
+        stops: list[int] = []  # behind which piece each stretch ends
+        for s in stretches:
+            if s.isalpha() or (s[:1] == " " and s[1:].isalpha()):
+                pieces.append(s)
+            else:
+                pieces += self.split(s)
+            stops.append(len(pieces))
+        special = self.special if self.special and not self.special.keys().isdisjoint(pieces) else {}
+        ids, ends = self.merge([b"" if p in special else p.encode("utf-8", "surrogatepass") for p in pieces])
+        if special:  # such a piece was left empty; its id goes where it stood
+            at = [k for k, p in enumerate(pieces) if p in special]
+            ids = np.insert(ids, ends[at], [special[pieces[k]] for k in at])
+            ends = ends + np.searchsorted(at, np.arange(len(pieces)), side="right")
+        each = ids.tolist()
+        names, raw = list(map(self.names.__getitem__, each)), self.decode_bytes(each)
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], stops]).astype(np.int64)]
+        bytes_before = np.concatenate([[0], np.cumsum(self.sizes[ids])])[ends].tolist()
+        ends = ends.tolist()
+        return [(",".join(names[a:b]), raw[x:y]) for a, b, x, y in zip(ends, ends[1:], bytes_before, bytes_before[1:], strict=False)]
+
+    def encode_many(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """For each text its ids, joined by commas, and the bytes which they decode to."""
+        known, first = self.known, self.known_first
+        if len(known) > MOST_PIECES:
             known.clear()
-        look = known if len(fresh) < MOST_PIECES else dict(known)
-        look.update(fresh)
-        out = [[look[s] for s in c] for c in cut]
-        for s in new:
-            if len(s) > LONGEST_KEPT:
-                look.pop(s, None)
+        if len(first) > MOST_PIECES:
+            first.clear()
+            first[""] = ("", b"")
+        found: list[list | None] = []
+        cut: dict[int, list[str]] = {}
+        missing: set[str] = set()
+        missing_first: set[str] = set()
+        for i, text in enumerate(texts):
+            parts = text.split(" ")
+            row = list(map(known.get, parts))
+            row[0] = first.get(parts[0])
+            if None in row:
+                cut[i] = parts
+                missing.update(parts[1:])
+            found.append(row)
+        missing.difference_update(known)
+        uneven = {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}
+        missing -= uneven
+        odd: dict[int, list[str]] = {}
+        for i, parts in cut.items():
+            if not uneven.isdisjoint(parts[1:]) or (parts[0] and parts[0][-1].isspace()):
+                odd[i] = self.stretches(texts[i])
+                found[i] = None
+            else:
+                found[i] = parts
+                if parts[0] not in first:
+                    missing_first.add(parts[0])
+        rest, starts, whole = list(missing), list(missing_first), list({s for c in odd.values() for s in c})
+        if rest or starts or whole:
+            learned = self.learn([*(" " + p for p in rest), *starts, *whole])
+            known.update(zip(rest, learned, strict=False))
+            first.update(zip(starts, learned[len(rest) :], strict=False))
+            whole_of = dict(zip(whole, learned[len(rest) + len(starts) :], strict=True))
+        out = []
+        for i, row in enumerate(found):
+            if row is None:
+                row = [whole_of[s] for s in odd[i]]
+            elif i in cut:
+                row = list(map(known.get, row))
+                row[0] = first[cut[i][0]]
+            found[i] = None
+            ids, raw = zip(*row, strict=True)
+            line = ",".join(ids)
+            out.append((line if ids[0] and "" not in ids else ",".join(filter(None, ids)), b"".join(raw)))
+        for p in rest:
+            if len(p) > LONGEST_KEPT:
+                del known[p]
+        for p in starts:
+            if len(p) > LONGEST_KEPT:
+                del first[p]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for joined, n, _ in self.encode_many([text])[0] if n for i in joined.split(",")]
+        line = self.encode_many([text])[0][0]
+        return [int(i) for i in line.split(",")] if line else []
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -219,21 +294,35 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", *(["ids array<int>, decoded string"] if with_ids else [])])
     names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, ids_hex, text_hex, ids, decoded = [], [], [], [], []
+    def step(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and the remembered stretches are many small objects
-        encoded = codec(path).encode_many(batch.column(len(keep)).to_pylist())
+        encoded = iter(codec(path).encode_many([t for b in batches for t in b.column(len(keep)).to_pylist()]))
         gc.enable()
-        for found in encoded:
-            line = ",".join([x[0] for x in found if x[1]])
-            back = b"".join([x[2] for x in found]).decode("utf-8", "replace")
-            counts.append(sum([x[1] for x in found]))
-            ids_hex.append(hashlib.sha256(line.encode()).hexdigest())
-            text_hex.append(hashlib.sha256(back.encode()).hexdigest())
-            if with_ids:
-                ids.append([int(x) for x in line.split(",")] if line else [])
-                decoded.append(back)
-        more = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else []
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string()), *more], names=names)
-
-    return map_arrow(narrow, schema, step, "__text")
+        for batch in batches:
+            counts, ids_hex, text_hex, ids, decoded = [], [], [], [], []
+            for line, raw in islice(encoded, batch.num_rows):
+                back = raw.decode("utf-8", "replace")
+                counts.append(line.count(",") + 1 if line else 0)
+                ids_hex.append(hashlib.sha256(line.encode()).hexdigest())
+                text_hex.append(hashlib.sha256(back.encode()).hexdigest())
+                if with_ids:
+                    ids.append([int(x) for x in line.split(",")] if line else [])
+                    decoded.append(back)
+            more = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string()), *more], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            for part in small_batches(batch, "__text"):
+                held.append(part)
+                size += part.nbytes
+                if size >= BYTES_TOGETHER:
+                    yield from step(held)
+                    held, size = [], 0
+        if held:
+            yield from step(held)
+
+    bound_batches(docs.sparkSession)
+    return narrow.mapInArrow(run, schema)

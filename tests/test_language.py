@@ -176,7 +176,7 @@ def test_grouping(spark):
     assert [r[0] for r in rows(t.derive("{-g; n = count()}"))] == [None, "q", "p"]
     kinds = {f.name: f.dataType for f in t.derive("{; a = sum(v), b = sum(id), c = sum(d), d = avg(v)}").df.schema.fields}
     assert kinds == {"a": T.LongType(), "b": T.DecimalType(38, 0), "c": T.DoubleType(), "d": T.DoubleType()}
-    for bad in ("{g; v}", "{g; n = count(), -v}", "{g; x = sum(sum(v))}", "{g; x = sum(g)}", "{x = sum(v)}", "{g; a = sum(v), b = sum(v, rows:..)}", "{g; a = sum()}", "{x = count(); }", "{g; a = sum(v), a = 1}"):
+    for bad in ("{g; v, n = count()}", "{g; n = count(), -v}", "{g; x = sum(sum(v))}", "{g; x = sum(g)}", "{x = sum(v)}", "{g; a = sum(v), b = sum(v, rows:..)}", "{g; a = sum()}", "{x = count(); }", "{g; a = sum(v), a = 1}"):
         with pytest.raises(QueryError):
             t.derive(bad)
 
@@ -443,3 +443,32 @@ def test_stream(spark, tmp_path):
     with pytest.raises(QueryError):
         derive_stream(stream, "{+id}")
     assert F is not None
+
+
+def test_row_boxes(spark):
+    from braidframe.operators.rows import RowBox, changes
+
+    df = spark.createDataFrame([(1, "7", 2.5, (3,)), (2, "x", 4.0, None)], "id int, s string, d double, r struct<p int>")
+    box = RowBox.of(df.schema, df.where("id = 1").first())
+    assert box.get("s", "int") == 7 and box["r.p"] == 3 and box.get("d", "decimal") == Decimal("2.5") and box.changed() == set()
+    for name, kind in (("d", "int"), ("s", "boolean")):
+        with pytest.raises(ValueError, match=name):
+            box.get(name, kind)
+    box["d"] = 9.0
+    other = box.clone()
+    assert box.changed() == {"d"} and other["d"] == 9.0
+    other.unset("s")
+    assert not other.is_set("s") and box.is_set("s") and [n for n, _ in other] == ["id", "d", "r"]
+    with pytest.raises(UnsetColumn):
+        other["s"]
+    with pytest.raises(QueryError):
+        box["zz"] = 1
+    state = State(Table(df, ("id",)))
+    assert [r.d for r in state.update(changes([box], df, ("id",))).df.orderBy("id").collect()] == [9.0, 4.0]
+    box.clean()
+    seen = []
+    box.for_each(lambda n, v: seen.append(n))
+    assert seen == ["id", "s", "d", "r"] and box.changed() == set()
+    empty = RowBox(df.schema)
+    box.copy_to(empty)
+    assert empty["id"] == 1

@@ -187,9 +187,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     all_segments = scratch.save(map_arrow(rows, f"doc_id {id_type}, key bigint, h bigint, seg bigint, first int, more int, offset int", cut, "body", max_bytes=1 << 20, max_rows=4096), "segments")
     at = F.struct("doc_id", "key", "first")
-    anchors = all_segments.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1")
+    # counts are written before they are joined back: a join of two plain shuffles can be split where a key is hot
+    anchors = scratch.save(all_segments.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1"), "anchors")
     found = scratch.save(all_segments.join(anchors, "h").withColumn("alike", F.expr("low = high")).drop("n", "low", "high"), "recurring")
     scratch.drop("segments")
+    scratch.drop("anchors")
     kinds = found.groupBy("h", "seg", "alike").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "first", "more", "offset")).alias("least"))
     kinds = scratch.save(kinds.where("n > 1 or not alike"), "kinds")
     copies = found.join(kinds.where("n > 1").select("h", "seg", F.struct("least.doc_id", "least.key", "least.first").alias("least")), ["h", "seg"])
@@ -198,7 +200,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spans = copies.select("doc_id", "key", F.col("first").alias("s"), (F.col("first") + F.col("more") + length).alias("e"))
     # one segment of each kind, where an anchor has several kinds
     mixed = kinds.where("not alike")
-    crowds = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    crowds = scratch.save(mixed.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")), "crowds")
     wanted = mixed.join(crowds, "h").select("least.*", "h", (F.col("kinds") > most_segments).alias("crowded"))
     per_text = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "first", "more", "offset", "crowded")).alias("wanted"))
     source = rows.alias("r").join(per_text.alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.key") == F.col("w.key"))).select("r.doc_id", "r.key", "r.body", "w.wanted")

@@ -32,11 +32,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space beside a space.
 UNEVEN = regex.compile(r" \s|\s |^ | $").search
 #: Remembered stretches of a worker; the memory is emptied when it is full.
-MOST_PIECES = 500_000
+MOST_PIECES = 250_000
 #: Stretches longer than this are not remembered.
 LONGEST_KEPT = 256
 #: Bytes of texts whose new pieces are merged together, about.
-BYTES_TOGETHER = 4 << 20
+BYTES_TOGETHER = 2 << 20
 
 
 def byte_letters() -> list[str]:

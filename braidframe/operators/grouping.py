@@ -154,6 +154,7 @@ def _windowed(table: Table, df: DataFrame, groups: list[tuple[Item, Value]], sec
     order = [*((v, i.order) for i, v in flagged), *([] if flagged else [(table.resolve(Path((n,))), f) for n, f in table.order if n in table.columns]), *ties]
     partition = [v for _, v in groups]
     made: dict[Call, Value] = {}
+    every_call = [c for i in second for c in _calls(i.expr)]
 
     def call(node: Call) -> Value:
         nonlocal df
@@ -170,9 +171,19 @@ def _windowed(table: Table, df: DataFrame, groups: list[tuple[Item, Value]], sec
             if frame.mode == "range" and (first_order is None or v is None or not Y.is_number(v.type) or not _same(node.args[0], first_order[0])):
                 raise QueryError("a range frame needs a number which is the first ordered column", node.start, node.end)
             if frame.variable:
-                df = variable_frame(df, node.name, v, frame, partition, order, name)
-            else:
-                df = _constant_frame(df, node.name, v, frame, partition, order, name)
+                # all functions over the same frame are computed together
+                alike = [node]
+                if node.name not in ("first", "last"):
+                    alike += [c for c in every_call if c != node and c not in made and c.named == node.named and c.name not in ("first", "last") and (frame.mode == "rows" or c.args == node.args)]
+                todo = []
+                for k, other in enumerate(dict.fromkeys(alike)):
+                    argument = plain.value(other.args[0]) if other.args else None
+                    fn.check_argument(other.name, argument, other)
+                    todo.append((other.name, argument, f"{name}c{k}"))
+                    made[other] = Value(F.col(f"{name}c{k}"), fn.result_type(other.name, argument), other.name not in ("count", "sum"))
+                df = variable_frame(df, todo, frame, partition, order)
+                return made[node]
+            df = _constant_frame(df, node.name, v, frame, partition, order, name)
             nullable = node.name not in ("count", "sum")
             made[node] = Value(F.col(name), fn.result_type(node.name, v), nullable)
         return made[node]

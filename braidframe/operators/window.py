@@ -41,8 +41,8 @@ def read_frame(mode: str, node: Node, c: Compiler) -> Frame:
     return Frame(mode, *ends, True)
 
 
-def variable_frame(df: DataFrame, name: str, v: Value | None, frame: Frame, partition: list[Value], order: list[tuple[Value, str]], out: str) -> DataFrame:
-    """A frame whose bounds differ from row to row.
+def variable_frame(df: DataFrame, calls: list[tuple[str, Value | None, str]], frame: Frame, partition: list[Value], order: list[tuple[Value, str]]) -> DataFrame:
+    """A frame whose bounds differ from row to row, for all ``calls`` (function, argument, output) at once.
 
     Rows are numbered (for ``groups`` by runs of equal values, for ``range`` by
     the value itself) and a row's frame becomes an interval of numbers.  Numbers
@@ -52,6 +52,7 @@ def variable_frame(df: DataFrame, name: str, v: Value | None, frame: Frame, part
     """
     from .grouping import with_runs
 
+    name, v, out = calls[0]
     sorts = [sort_column(o.col, f) for o, f in order] or [F.monotonically_increasing_id()]
     keys = [f"{out}p{k}" for k in range(len(partition))]
     for k, p in zip(keys, partition, strict=True):
@@ -81,15 +82,17 @@ def variable_frame(df: DataFrame, name: str, v: Value | None, frame: Frame, part
         df = df.withColumn(f"{out}b", F.greatest(f"{out}b", edges[0]))
     if name == "last":
         df = df.withColumn(f"{out}a", F.least(f"{out}a", edges[1]))
-    value = v.col if v is not None else F.lit(1)
     rank = F.col(f"{out}n")
     # what rows of one number are together
-    if name in ("first", "last"):
-        pre = [(F.min_by if name == "first" else F.max_by)(F.struct(value.alias("v")), rank).alias("s"), (F.min if name == "first" else F.max)(rank).alias("r")]
-    elif name == "avg":
-        pre = [F.sum(value.cast("double") if not Y.is_decimal(v.type) else value).alias("s"), F.count(value).alias("r")]
-    else:
-        pre = [fn.aggregate_column(name, v).alias("s")]
+    pre: list[Column] = []
+    for i, (fname, x, _) in enumerate(calls):
+        value = x.col if x is not None else F.lit(1)
+        if fname in ("first", "last"):
+            pre += [(F.min_by if fname == "first" else F.max_by)(F.struct(value.alias("v")), rank).alias(f"s{i}"), (F.min if fname == "first" else F.max)(rank).alias(f"r{i}")]
+        elif fname == "avg":
+            pre += [F.sum(value if Y.is_decimal(x.type) else value.cast("double")).alias(f"s{i}"), F.count(value).alias(f"r{i}")]
+        else:
+            pre.append(fn.aggregate_column(fname, x).alias(f"s{i}"))
     cells = df.groupBy(*(F.col(k).alias(f"c{k}") for k in keys), at.alias("cell")).agg(*pre)
     asked = df.select(*keys, f"{out}n", f"{out}a", f"{out}b").where(F.col(f"{out}a") <= F.col(f"{out}b"))
     same = [F.col(k).eqNullSafe(F.col(f"c{k}")) for k in keys]
@@ -98,21 +101,24 @@ def variable_frame(df: DataFrame, name: str, v: Value | None, frame: Frame, part
         joined = asked.join(cells, [*same, F.col("want") == F.col("cell")])
     else:
         joined = asked.join(cells, [*same, F.col("cell") >= F.col(f"{out}a"), F.col("cell") <= F.col(f"{out}b")])
-    if name in ("first", "last"):
-        total = (F.min_by if name == "first" else F.max_by)("s", "r").getField("v")
-    elif name == "avg":
-        total = F.when(F.sum("r") > 0, F.sum("s") / F.sum("r"))
-    elif name in ("count", "sum"):
-        total = F.sum("s")
-    else:
-        total = (F.min if name == "min" else F.max)("s")
-    found = joined.groupBy(*(F.col(k).alias(f"d{k}") for k in keys), F.col(f"{out}n").alias(f"{out}d")).agg(total.alias(f"{out}s"))
+    totals: list[Column] = []
+    for i, (fname, _, _) in enumerate(calls):
+        if fname in ("first", "last"):
+            total = (F.min_by if fname == "first" else F.max_by)(f"s{i}", f"r{i}").getField("v")
+        elif fname == "avg":
+            total = F.when(F.sum(f"r{i}") > 0, F.sum(f"s{i}") / F.sum(f"r{i}"))
+        elif fname in ("count", "sum"):
+            total = F.sum(f"s{i}")
+        else:
+            total = (F.min if fname == "min" else F.max)(f"s{i}")
+        totals.append(total.alias(f"{out}s{i}"))
+    found = joined.groupBy(*(F.col(k).alias(f"d{k}") for k in keys), F.col(f"{out}n").alias(f"{out}d")).agg(*totals)
     back = df.join(found, [*(F.col(k).eqNullSafe(F.col(f"d{k}")) for k in keys), F.col(f"{out}n") == F.col(f"{out}d")], "left")
-    t = fn.result_type(name, v)
-    column = F.col(f"{out}s").cast(t)
-    if name in ("count", "sum"):
-        column = F.coalesce(column, F.lit(0).cast(t))
-    return back.withColumn(out, column)
+    for i, (fname, x, column) in enumerate(calls):
+        t = fn.result_type(fname, x)
+        made = F.col(f"{out}s{i}").cast(t)
+        back = back.withColumn(column, F.coalesce(made, F.lit(0).cast(t)) if fname in ("count", "sum") else made)
+    return back
 
 
 __all__ = ["Frame", "read_frame", "variable_frame"]

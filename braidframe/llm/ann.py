@@ -215,31 +215,50 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
         turn = {leaf: n for n, leaf in enumerate(tree.visit(unit, tree.leaves), 1)}
         places += [turn[leaf] for leaf in near.get(i, [])]
     visits = int(np.sort(places)[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]) if places else 1
-    # all queries visit so many leaves; a leaf and its visitors meet in blocks
+    # all queries visit so many leaves; neighbouring leaves form bundles, and a bundle and its visitors meet in blocks,
+    # so that a query has k rows from a bundle and not from each leaf
+    width = max(1, int(np.ceil(np.sqrt(tree.leaves))))
+
     def travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                ids = b.column(0).to_numpy()
-                found = [sent.value.visit(unit, visits) for unit in _unit(_matrix(b.column(1), dim))]
-                row = np.repeat(ids, [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate(found).astype(np.int32))], names=["id", "leaf"])
-
-    visited = scratch.save(asked.mapInArrow(travel, "id long, leaf int"), "visited")
-    held = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("rows"))
-    met = visited.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("visitors"))
-    blocks = F.broadcast(held.join(met, "leaf"))  # a row for each leaf of the tree, whose number is bounded
+                row, bundle, leaves = [], [], []
+                for i, unit in zip(b.column(0).to_pylist(), _unit(_matrix(b.column(1), dim)), strict=True):
+                    held: dict[int, list[int]] = {}
+                    for leaf in sent.value.visit(unit, visits):
+                        held.setdefault(leaf // width, []).append(leaf)
+                    row += [i] * len(held)
+                    bundle += held
+                    leaves += held.values()
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(bundle, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["id", "bundle", "leaves"])
+
+    visited = scratch.save(asked.mapInArrow(travel, "id long, bundle int, leaves array<int>"), "visited")
+    bundled = indexed.withColumn("bundle", F.floor(F.col("leaf") / width).cast("int"))
+    held = bundled.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("rows"))
+    met = visited.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("visitors"))
+    blocks = F.broadcast(held.join(met, "bundle"))  # fewer rows than the tree has leaves, whose number is bounded
     part, every = (lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    coming = visited.join(blocks, "leaf").join(asked, "id").select("leaf", part("visitors").alias("qb"), every("rows").alias("vb"), "id", "v")
-    stored = indexed.join(blocks, "leaf").select("leaf", every("visitors").alias("qb"), part("rows").alias("vb"), "id", "v")
+    coming = visited.join(blocks, "bundle").join(asked, "id").select("bundle", part("visitors").alias("qb"), every("rows").alias("vb"), "id", "v", "leaves")
+    stored = bundled.join(blocks, "bundle").select("bundle", every("visitors").alias("qb"), part("rows").alias("vb"), "id", "v", "leaf")
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        best: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
         if left.num_rows and right.num_rows:
-            q, x, s = block_top(left["id"].to_numpy(), _matrix(left["v"].combine_chunks(), dim), right["id"].to_numpy(), _matrix(right["v"].combine_chunks(), dim), k)
-        else:
-            q, x, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            q_id, q = left["id"].to_numpy(), _matrix(left["v"].combine_chunks(), dim)
+            x_id, x, leaf = right["id"].to_numpy(), _matrix(right["v"].combine_chunks(), dim), right["leaf"].to_numpy()
+            asking: dict[int, list[int]] = {}
+            for i, leaves in enumerate(left["leaves"].to_pylist()):
+                for n in leaves:
+                    asking.setdefault(n, []).append(i)
+            for n, who in asking.items():
+                mine = np.flatnonzero(leaf == n)
+                if len(mine):
+                    found = block_top(q_id[who], q[who], x_id[mine], x[mine], k)
+                    best.append((*found, np.full(len(found[0]), n, np.int32)))
+        q, x, s, _ = _cut(best, k)
         return pa.table([pa.array(q, pa.int64()), pa.array(x, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    pairs = coming.groupBy("leaf", "qb", "vb").cogroup(stored.groupBy("leaf", "qb", "vb")).applyInArrow(match, "query_id long, vec_id long, score double")
+    pairs = coming.groupBy("bundle", "qb", "vb").cogroup(stored.groupBy("bundle", "qb", "vb")).applyInArrow(match, "query_id long, vec_id long, score double")
     return _best(pairs, k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -21,6 +21,7 @@ at most two bits, and one word has 65 fingerprints around it at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import combinations, repeat
 
@@ -161,19 +162,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return marked.join(found, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *keep)
 
 
-def keep_representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_limit: int = 64) -> DataFrame:
+def keep_representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_limit: int = 64, find: Callable[..., DataFrame] = near_duplicates, mark: Callable[..., DataFrame] = with_fingerprint) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the smallest id.
 
     Columns stay as they are.  If the smallest id is repeated (or every id of a
-    component is null), one of those rows stays.
+    component is null), one of those rows stays.  ``find`` and ``mark`` give the
+    components and the fingerprints by which rows are told apart.
     """
-    found = near_duplicates(docs, text, doc_id, bucket_limit)
+    found = find(docs, text, doc_id, bucket_limit)
     scratch = Scratch(session_of(docs))
     chosen = scratch.save(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("doc_id").alias("__id"), F.count(F.lit(1)).alias("n"), F.first("fingerprint").alias("__fp")), "chosen")
     kept = docs.join(chosen.where("n = 1 and __id is not null").select("__id"), docs[doc_id] == F.col("__id"), "left_semi")
     again = chosen.where("n > 1 or __id is null")
     if again.limit(1).count():
-        marked = with_fingerprint(docs, text, keep=tuple(docs.columns), name="__fp64").withColumn("__fp", F.lower(F.lpad(F.hex("__fp64"), 16, "0")))
+        marked = mark(docs, text, keep=tuple(docs.columns), name="__fp64").withColumn("__fp", F.lower(F.lpad(F.hex("__fp64"), 16, "0")))
         left = marked.join(again.select(F.col("__id").alias("__one"), F.col("__fp").alias("__print"), F.col("root").alias("__root")), F.col(doc_id).eqNullSafe(F.col("__one")) & (F.col("__fp") == F.col("__print")))
         kept = kept.unionByName(left.dropDuplicates(["__root"]).select(*docs.columns))
     return kept

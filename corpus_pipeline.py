@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidframe.llm import bpe, decontam, langid, secrets, simhash
+from braidframe.llm import bpe, decontam, jaccard, langid, secrets
 from braidframe.llm.common import Scratch, table
 from braidframe.llm.queries import VOCABULARY
 
@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each near-duplicate component."""
-    return simhash.keep_representatives(docs)
+    """Keep the document of the smallest id of each component of texts whose five-word shingle sets are similar by 0.8 or more."""
+    return jaccard.keep_representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from braidframe.llm import ann, bpe, chat, components, decontam, html_text, langid, secrets, sharding, simhash, suffix_dedup
+from braidframe.llm import ann, bpe, chat, components, decontam, html_text, jaccard, langid, secrets, sharding, simhash, suffix_dedup
 from braidframe.llm.common import Scratch, table
 from braidframe.llm.queries import QUERIES, VOCABULARY
 
@@ -101,6 +101,56 @@ def test_simhash_representatives(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def slow_jaccard(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_shingle_keys_meet_at_four_fifths():
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 60), 231, 700, 5000]:
+        for _ in range(20):
+            total = max(n, rng.integers(n, n * 5 // 4 + 1))
+            hashes = rng.integers(0, 1 << 63, total, dtype=np.uint64)
+            only = total - -(-4 * total // 5)  # so many may be in one of the sets only
+            cut = rng.integers(0, only + 1)
+            a, b = np.unique(hashes[cut:]), np.unique(np.concatenate([hashes[:cut], hashes[only:]]))
+            assert set(jaccard.part_keys(a).tolist()) & set(jaccard.part_keys(b).tolist())
+            odd = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(jaccard.parities(a), jaccard.parities(b), strict=True))
+            assert odd <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("limit", [64, 1])
+def test_shingle_components(spark, corpus, limit):
+    rng = random.Random(9)
+    some = [corpus[i] for i in sorted(corpus)[:40]]
+    near = [" ".join(w if rng.random() > p else "x" for w in t.split()) for t in some for p in (0.005, 0.02, 0.03)]
+    short = ["a b c d e f g h i j k l m n", "a b c d e f g h i j k l m n o", "a b c d e f g", "b c d e f g"]
+    texts = [*some, *near, *near[:10], *short, *ODD]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs(spark, texts), bucket_limit=limit).collect()}
+    want = slow_jaccard(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert jaccard.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark, corpus):
+    import corpus_pipeline
+
+    order = sorted(corpus)
+    want = slow_jaccard([corpus[i] for i in order])
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, SF, "documents"), SF)
+    assert {r.doc_id for r in kept.collect()} == {order[r] for r in want}
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, None), (8, 8)]

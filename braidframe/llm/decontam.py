@@ -11,8 +11,11 @@ be there.
 
 The basis spans benchmark passages and not the corpus: the leading directions of
 a corpus are its common words, and the rare words which tell an item apart would
-be lost.  Items are taken in blocks of bounded size, each of which is sent to
-all tasks; more items mean more passes over the documents, not larger tasks.
+be lost.  It spans all passages of a block: it has as many vectors, and further
+ones for passages that a float's precision loses.  Items that a text holds word
+for word are also found without it, from each place of their rarest word.  Items
+are taken in blocks of bounded size, each of which is sent to all tasks; more
+items mean more passes over the documents, not larger tasks.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, session_of
 
-#: Items of one block, and bytes of one item that count.
-BLOCK_ITEMS = 1_024
+#: Items that are read together, and passages of one block (of more only if one item has more).
+BLOCK_ITEMS, BLOCK_PASSAGES = 1_024, 384
 #: Words of a passage, of a document window, and from one window to the next.
 PASSAGE, WINDOW, STRIDE = 48, 64, 32
-RANK, ITERATIONS = 192, 2
+ITERATIONS = 2
+#: A passage must keep this share of its squared norm when it is projected.
+LEAST_KEPT = 0.999
 #: Words in more than this share of documents have no weight, but for an item's rarest ones.
 COMMON, RAREST = 0.05, 8
 LEAST_COSINE, LEAST_COVER = 0.3, 0.35
@@ -69,6 +74,7 @@ class Index:
     norms: np.ndarray  # of the passages, projected
     owner: np.ndarray  # item of each passage
     least_mass: float
+    anchors: dict[int, list[tuple[int, int]]]  # by word: items of which it is the rarest, and its place there
 
 
 def masks_of(words: list[bytes]) -> dict[bytes, int]:
@@ -119,7 +125,7 @@ def _passage_rows(items: list[Item]) -> list[tuple[int, list[bytes]]]:
     return out
 
 
-def singular_vectors(spark, rows: list[tuple[list[int], list[float]]], width: int, rank: int = RANK, iterations: int = ITERATIONS, seed: int = 11) -> np.ndarray:
+def singular_vectors(spark, rows: list[tuple[list[int], list[float]]], width: int, rank: int, iterations: int = ITERATIONS, seed: int = 11) -> np.ndarray:
     """Leading right singular vectors (width x rank) of a sparse matrix by randomised subspace iteration."""
     rank = min(rank, width, len(rows))
     table = spark.createDataFrame([(t, w) for t, w in rows], "t array<int>, w array<double>").coalesce(4)
@@ -145,6 +151,22 @@ def singular_vectors(spark, rows: list[tuple[list[int], list[float]]], width: in
     return (z @ vectors[:, np.argsort(-values)]).astype(np.float32)
 
 
+def spanning(basis: np.ndarray, rows: list[tuple[list[int], list[float]]]) -> np.ndarray:
+    """An orthonormal basis that keeps all rows: ``basis`` and what it lacks of them."""
+    lacking = []
+    for t, w in rows:
+        weights = np.asarray(w)
+        kept = weights @ basis[t].astype(np.float64)
+        if kept @ kept < LEAST_KEPT * (weights @ weights):
+            rest = -(basis @ kept)
+            rest[t] += weights
+            lacking.append(rest / np.sqrt(weights @ weights))
+    if not lacking:
+        return basis
+    vectors, size, _ = np.linalg.svd(np.stack(lacking, axis=1), full_matrices=False)
+    return np.hstack([basis, vectors[:, size > 1e-4].astype(np.float32)])
+
+
 def build_index(spark, items: list[Item], total: int, frequency: Counter[bytes]) -> Index | None:
     idf = {w: float(np.log(1 + total / max(1, frequency[w]))) for item in items for w in item.words}
     chosen = {w for w in idf if frequency[w] <= COMMON * total}
@@ -152,6 +174,10 @@ def build_index(spark, items: list[Item], total: int, frequency: Counter[bytes])
         chosen.update(sorted(set(item.words), key=lambda w: (-idf[w], w))[:RAREST])
     vocabulary = {w: i for i, w in enumerate(sorted(chosen))}
     weight = np.array([idf[w] for w in sorted(chosen)], np.float32)
+    anchors: dict[int, list[tuple[int, int]]] = {}
+    for i, item in enumerate(items):
+        rarest = min(item.words, key=lambda w: (-idf[w], w))
+        anchors.setdefault(vocabulary[rarest], []).append((i, item.words.index(rarest)))
     owner, rows = [], []
     for i, words in _passage_rows(items):
         counts = Counter(vocabulary[w] for w in words if w in vocabulary)
@@ -160,11 +186,11 @@ def build_index(spark, items: list[Item], total: int, frequency: Counter[bytes])
             rows.append((list(counts), [n * float(weight[t]) for t, n in counts.items()]))
     if not rows:
         return None
-    basis = singular_vectors(spark, rows, len(vocabulary))
+    basis = spanning(singular_vectors(spark, rows, len(vocabulary), len(rows)), rows)
     passages = np.stack([np.asarray(w, np.float32) @ basis[t] for t, w in rows])
     norms = np.sqrt((passages * passages).sum(axis=1))
     mass = min(sum(x * x for x in w) for _, w in rows)
-    return Index(items, [masks_of(x.words) for x in items], vocabulary, weight, basis, passages, np.maximum(norms, 1e-6), np.array(owner), LEAST_COVER * mass)
+    return Index(items, [masks_of(x.words) for x in items], vocabulary, weight, basis, passages, np.maximum(norms, 1e-6), np.array(owner), LEAST_COVER * mass, anchors)
 
 
 def matches(index: Index, text: str | None) -> list[tuple[int, float, float]]:
@@ -175,6 +201,26 @@ def matches(index: Index, text: str | None) -> list[tuple[int, float, float]]:
     if not len(at):
         return []
     known = ids[at]
+    best = near(index, words, at, known)
+    for i in verbatim(index, words, at, known):
+        if best.get(i, (0.0, 0.0))[1] < 1.0:
+            best[i] = (1.0, 1.0)
+    return [(i, c, s) for i, (c, s) in sorted(best.items())]
+
+
+def verbatim(index: Index, words: list[bytes], at: np.ndarray, known: np.ndarray) -> set[int]:
+    """The items whose words a text holds in one stretch, with the answer."""
+    out: set[int] = set()
+    for k in np.flatnonzero(np.isin(known, list(index.anchors))).tolist():
+        for i, place in index.anchors[int(known[k])]:
+            start, n = int(at[k]) - place, len(index.items[i].words)
+            if i not in out and start >= 0 and words[start : start + n] == index.items[i].words and answered(index, i, words, start, n):
+                out.add(i)
+    return out
+
+
+def near(index: Index, words: list[bytes], at: np.ndarray, known: np.ndarray) -> dict[int, tuple[float, float]]:
+    """(cosine, share) of the items that windows of a text are near to and that it holds for the most part."""
     weight = index.weight[known]
     # window j covers the words from STRIDE * j; a word lies in the windows j and j - 1
     last = at // STRIDE
@@ -184,7 +230,7 @@ def matches(index: Index, text: str | None) -> list[tuple[int, float, float]]:
     mass = np.bincount(window, weight[entry] ** 2)
     heavy = np.flatnonzero(mass >= index.least_mass)
     if not len(heavy):
-        return []
+        return {}
     order = np.flatnonzero(np.isin(window, heavy))
     order = order[np.argsort(window[order], kind="stable")]
     starts = np.searchsorted(window[order], heavy)
@@ -201,13 +247,12 @@ def matches(index: Index, text: str | None) -> list[tuple[int, float, float]]:
             i = int(index.owner[p])
             if best.get(i, (0.0, 0.0))[1] < 1.0 and (share := verify(index, i, words, STRIDE * int(heavy[a + w]))):
                 best[i] = max(best.get(i, (0.0, 0.0)), (float(cosine[w, p]), share), key=lambda x: (x[1], x[0]))
-    return [(i, c, s) for i, (c, s) in sorted(best.items())]
+    return best
 
 
 def verify(index: Index, i: int, words: list[bytes], start: int) -> float:
     """Share of the item's words that a stretch near a window has in order; 0 if too few or if the answer lacks."""
-    item, masks = index.items[i], index.masks[i]
-    n = len(item.words)
+    n, masks = len(index.items[i].words), index.masks[i]
     low, high = max(0, start - n), min(len(words), start + WINDOW + n)
     length, step = int(np.ceil(STRETCH * n)), max(1, n // 8)
     best, place = 0, low
@@ -217,13 +262,19 @@ def verify(index: Index, i: int, words: list[bytes], start: int) -> float:
             best, place = found, a
     if best < LEAST_LCS * n:
         return 0.0
+    return best / n if answered(index, i, words, place, length) else 0.0
+
+
+def answered(index: Index, i: int, words: list[bytes], place: int, length: int) -> bool:
+    """Whether the answer, or the item's rarest words, are near a stretch."""
+    item, n = index.items[i], len(index.items[i].words)
     here = set(words[max(0, place - n // 4) : place + length + n // 4])
     if item.answer:
         wanted = item.answer
     else:
         rare = sorted(set(item.words) & index.vocabulary.keys(), key=lambda w: (-index.weight[index.vocabulary[w]], w))
         wanted = rare[: max(1, len(rare) // 3)]
-    return best / n if sum(w in here for w in wanted) >= LEAST_ANSWER * len(wanted) else 0.0
+    return sum(w in here for w in wanted) >= LEAST_ANSWER * len(wanted)
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None) -> Iterator[Index]:
@@ -236,14 +287,28 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         items = [x for r in part if len((x := Item(r.i, words_of(r.t), words_of(r.a))).words) >= LEAST_WORDS]
         if items:
             total, frequency = document_frequencies(docs, text, {w for x in items for w in x.words})
-            if total and (index := build_index(spark, items, total, frequency)):
-                yield index
+            for block in _blocks(items) if total else ():
+                if index := build_index(spark, block, total, frequency):
+                    yield index
+
+
+def _blocks(items: list[Item]) -> Iterator[list[Item]]:
+    """Runs of items of so many passages together."""
+    block, held = [], 0
+    for item in items:
+        n = -(-len(item.words) // PASSAGE)
+        if block and held + n > BLOCK_PASSAGES:
+            yield block
+            block, held = [], 0
+        block.append(item)
+        held += n
+    yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", answer: str | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, overlap): one row for each document row and benchmark item that it holds.
 
-    A null text holds nothing; rows with a null id are reported with it;
+    An item found word for word, but not by its windows, has cosine 1.  A null text holds nothing; rows with a null id are reported with it;
     repeated rows are reported each.  An empty table on either side gives no rows.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

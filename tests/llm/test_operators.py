@@ -206,6 +206,43 @@ def test_decontamination(spark, corpus):
     assert decontam.drop_contaminated(docs(spark, ODD), odd).count() == len(ODD)
 
 
+def test_decontamination_of_many_items(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(1500)]
+
+    def said(n):
+        return [words[int(len(words) * rng.random() ** 1.5)] for _ in range(n)]
+
+    items = [said(rng.choice([5, 6, 8, 20, 40, 59])) for _ in range(500)]
+    held = [decontam.Item(i, [w.encode() for w in x], []) for i, x in enumerate(items)]
+    dropped = [[w for w in x if rng.random() > 0.2] for x in items]
+    frequency = Counter({w.encode(): 1 + int(300 * rng.random()) for w in words})
+    missed, blocks = set(range(len(items))), list(decontam._blocks(held))
+    assert [x for b in blocks for x in b] == held
+    lost = 0
+    for block in blocks:
+        index = decontam.build_index(spark, block, 10_000, frequency)
+        for row, words_ in zip(*_kept_norms(index), strict=True):
+            assert row >= 0.99 * words_
+        for x in block:
+            i = x.item_id
+            if i in {index.items[k].item_id for k, _, _ in decontam.matches(index, " ".join([*said(40), *items[i], *said(90)]))}:
+                missed.discard(i)
+            if len(items[i]) >= 40 and len(dropped[i]) >= 0.7 * len(items[i]):
+                lost += i not in {index.items[k].item_id for k, _, _ in decontam.matches(index, " ".join([*said(40), *dropped[i], *said(90)]))}
+    assert not missed
+    assert lost <= 2
+
+
+def _kept_norms(index):
+    """Squared norms of an index's passages, projected and whole."""
+    whole = []
+    for _, words in decontam._passage_rows(index.items):
+        counts = Counter(index.vocabulary[w] for w in words if w in index.vocabulary)
+        whole += [sum((n * float(index.weight[t])) ** 2 for t, n in counts.items())] if counts else []
+    return (index.norms**2).tolist(), whole
+
+
 def test_singular_vectors(spark):
     rng = np.random.default_rng(0)
     dense = rng.random((30, 20)) * (rng.random((30, 20)) < 0.4)

@@ -44,7 +44,7 @@ COMMON, RAREST = 0.05, 8
 LEAST_COSINE, LEAST_COVER = 0.3, 0.35
 #: Share of an item's words in common order, stretch they may lie in (times the item's length), and share of the answer's words.
 LEAST_LCS, STRETCH, LEAST_ANSWER = 0.6, 1.3, 0.5
-#: Items of fewer words are too common to tell.
+#: Items of fewer words are only found word for word.
 LEAST_WORDS = 5
 _SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -119,6 +119,8 @@ def document_frequencies(docs: DataFrame, text: str, vocabulary: set[bytes]) ->
 def _passage_rows(items: list[Item]) -> list[tuple[int, list[bytes]]]:
     out = []
     for i, item in enumerate(items):
+        if len(item.words) < LEAST_WORDS:
+            continue
         parts = -(-len(item.words) // PASSAGE)
         size = -(-len(item.words) // parts)
         out += [(i, item.words[a : a + size]) for a in range(0, len(item.words), size)]
@@ -167,7 +169,7 @@ def spanning(basis: np.ndarray, rows: list[tuple[list[int], list[float]]]) -> np
     return np.hstack([basis, vectors[:, size > 1e-4].astype(np.float32)])
 
 
-def build_index(spark, items: list[Item], total: int, frequency: Counter[bytes]) -> Index | None:
+def build_index(spark, items: list[Item], total: int, frequency: Counter[bytes]) -> Index:
     idf = {w: float(np.log(1 + total / max(1, frequency[w]))) for item in items for w in item.words}
     chosen = {w for w in idf if frequency[w] <= COMMON * total}
     for item in items:
@@ -184,8 +186,9 @@ def build_index(spark, items: list[Item], total: int, frequency: Counter[bytes])
         if counts:
             owner.append(i)
             rows.append((list(counts), [n * float(weight[t]) for t, n in counts.items()]))
-    if not rows:
-        return None
+    if not rows:  # short items only
+        none = np.zeros((0, 1), np.float32)
+        return Index(items, [{} for _ in items], vocabulary, weight, np.zeros((len(vocabulary), 1), np.float32), none, none[:, 0], np.zeros(0, np.int64), np.inf, anchors)
     basis = spanning(singular_vectors(spark, rows, len(vocabulary), len(rows)), rows)
     passages = np.stack([np.asarray(w, np.float32) @ basis[t] for t, w in rows])
     norms = np.sqrt((passages * passages).sum(axis=1))
@@ -278,18 +281,17 @@ def answered(index: Index, i: int, words: list[bytes], place: int, length: int)
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None) -> Iterator[Index]:
-    """An index for each block of benchmark items; items of fewer than ``LEAST_WORDS`` words and repeated items are left out."""
+    """An index for each block of benchmark items; items without words and repeated items are left out."""
     spark = session_of(docs)
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t"), (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("a")).where("t is not null")
     blocks = -(-rows.count() // BLOCK_ITEMS)
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).distinct().orderBy("i", "t").collect()
-        items = [x for r in part if len((x := Item(r.i, words_of(r.t), words_of(r.a))).words) >= LEAST_WORDS]
+        items = [x for r in part if (x := Item(r.i, words_of(r.t), words_of(r.a))).words]
         if items:
             total, frequency = document_frequencies(docs, text, {w for x in items for w in x.words})
             for block in _blocks(items) if total else ():
-                if index := build_index(spark, block, total, frequency):
-                    yield index
+                yield build_index(spark, block, total, frequency)
 
 
 def _blocks(items: list[Item]) -> Iterator[list[Item]]:

@@ -234,6 +234,15 @@ def test_decontamination_of_many_items(spark):
     assert lost <= 2
 
 
+def test_decontamination_of_short_items(spark):
+    short = [(1, "Zyx"), (2, "quick  brown"), (3, "one, two three four"), (4, " .")]
+    texts = ["a zyx, b", "the quick\nBrown fox", "brown quick", "One two three four five.", "one two x three four", None, "", "zyxa"]
+    for more in ([], [(5, "this longer item has seven words here")]):
+        bench = spark.createDataFrame([*short, *more], "item_id long, text string")
+        assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, texts), bench).collect()} == {(0, 1), (1, 2), (3, 3)}
+        assert {r.doc_id for r in decontam.drop_contaminated(docs(spark, texts), bench).collect()} == {2, 4, 5, 6, 7}
+
+
 def _kept_norms(index):
     """Squared norms of an index's passages, projected and whole."""
     whole = []

@@ -225,7 +225,7 @@ for _flag, _sql in (("+", "ASC NULLS LAST"), ("+!", "ASC NULLS FIRST"), ("-", "D
 
     def _sort(t, flag=_flag):
         rows = Table(t("nation").derive("{n_nationkey, k = iif(n_regionkey == 2, null, n_regionkey)}").df, ("n_nationkey",))
-        return _numbered(rows.derive(f"{{n_nationkey, {flag}k}}").df.limit(1000))
+        return _numbered(rows.derive(f"{{n_nationkey, {flag}k}}").df)
 
     _sort.__name__ = "sort_" + {"+": "up", "+!": "up_null_low", "-": "down", "-!": "down_null_low"}[_flag]
     query(f"SELECT n_nationkey, k, row_number() OVER (ORDER BY k {_sql}, n_nationkey) AS rn FROM (SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN NULL ELSE n_regionkey END AS k FROM nation)")(_sort)

@@ -128,11 +128,14 @@ def usable_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
 def block_top(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, row id, score) of the k best rows of each query within a block, never a row of the query's own id."""
-    # of identical vectors only those of the smallest ids can be among the best
-    order = np.lexsort((x_id, np.unique(x, axis=0, return_inverse=True)[1].ravel()))
-    same = np.concatenate([[False], (x[order][1:] == x[order][:-1]).all(axis=1)])
-    run = np.arange(len(order)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    kept = order[run <= k]
+    # of identical vectors only those of the k + 1 smallest ids can be among the best, one of which may be the query's own, and k rows of each
+    vector = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((x_id, vector))
+    first = np.concatenate([[True], vector[order][1:] != vector[order][:-1]])
+    other = first | np.concatenate([[True], x_id[order][1:] != x_id[order][:-1]])
+    place, ids = np.arange(len(order)), np.cumsum(other)
+    run, row = ids - np.maximum.accumulate(np.where(first, ids, 0)), place - np.maximum.accumulate(np.where(other, place, 0))
+    kept = order[(run <= k) & (row < k)]
     x, x_id = x[kept], x_id[kept]
     qn, xn = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
     near = (q @ x.T) / qn[:, None] / xn[None, :]

@@ -26,7 +26,7 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of 32 and more, as shorter runs are dropped
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 WORDS = ("password", "passwd", "secret", "token", "api")
 PLACEHOLDER = re.compile(r"example|sample|placeholder|changeme|your[_-]?|dummy|xxxx|0000000|12345678|abcdef", re.IGNORECASE)
 #: A value is owner-specific up to this many owners and repositories; above either it is a copied example.

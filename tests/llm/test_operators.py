@@ -372,6 +372,14 @@ def test_neighbours(spark):
     assert all(abs(scores[v] - s) < 1e-12 for v, s in got[500].values() if v in scores)
 
 
+def test_neighbours_of_repeated_rows():
+    x_id = np.array([1] * 8 + [2, 2, 3, 4, 5], np.int64)
+    x = np.concatenate([np.tile([[1.0, 2.0]], (12, 1)), [[2.0, 1.0]]])
+    q, found, score = ann.block_top(np.array([1, 3]), np.array([[1.0, 2.0]] * 2), x_id, x, 5)
+    assert list(zip(q.tolist(), found.tolist(), strict=True)) == [(1, 2), (1, 2), (1, 3), (1, 4), (1, 5)] + [(3, 1)] * 5
+    assert np.allclose(score, [1, 1, 1, 1, 0.8] + [1] * 5)
+
+
 def test_neighbours_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0]), (51, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(few, few.where("vec_id % 50 = 0")).collect())
@@ -523,6 +531,12 @@ def test_secrets(spark, corpus):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_token_with_a_late_digit():
+    letters = "QwErTyUiOpAsDfGhJkLzXcVbNm" * 3
+    assert [s[:3] for s in secrets.token_spans(f"see {letters}7 there", [])] == [(4, 4 + len(letters) + 1, "live")]
+    assert secrets.token_spans(f"see {letters} there", []) == []
+
+
 @pytest.mark.parametrize("sent", [100_000, 0])
 def test_redaction(spark, monkeypatch, sent):
     monkeypatch.setattr(secrets, "MOST_SENT", sent)

@@ -24,7 +24,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -122,10 +122,14 @@ def _columns(sets: list[np.ndarray]) -> dict[str, pa.Array]:
     bits = list(zip(*map(parities, sets), strict=True))
     return {
         "fp": _signatures(sets), "size": pa.array([len(s) for s in sets], pa.int64()), **{f"p{i}": pa.array(b, pa.int64()) for i, b in enumerate(bits)},
-        "hashes": _lists(sets), "keys": _lists([part_keys(s) for s in sets]),
+        "keys": _lists([part_keys(s) for s in sets]),
     }
 
 
+def _sets(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+    return {"fp": _signatures(sets), "size": pa.array([len(s) for s in sets], pa.int64()), "hashes": _lists(sets)}
+
+
 _SIFT = ("size", "p0", "p1", "p2", "p3")
 
 
@@ -142,42 +146,47 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(9 * same >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def components_of(sets: DataFrame, scratch: Scratch, bucket_limit: int = 64) -> DataFrame:
-    """(node, root) of the distinct sets (fp, size, p0 to p3, hashes, keys) that are linked to another."""
-    keys = sets.select("fp", F.explode("keys").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1")
-    shared = scratch.save(keys.join(sizes, "key").join(sets.select("fp", *_SIFT), "fp"), "shared")
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_limit: int = 64) -> DataFrame:
+    """(doc_id, fingerprint, component_id, root): as ``simhash.near_duplicates``, by shingle sets; ``fingerprint`` is the set's signature.
+
+    Texts without words have the same, empty set and are linked to each other only.
+    """
+    scratch = Scratch(session_of(docs))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    columns = "fp bigint, size bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, keys array<bigint>"
+    keyed = scratch.save(_with(narrow, "text", ("doc_id",), columns, _columns), "keyed")
+    # a key's rows meet in a task; they are a small part of all rows, as a set has many keys
+    rows, every = keyed.select("fp", F.explode("keys").alias("key")), Window.partitionBy("key")
+    shared = rows.withColumn("first", F.min("fp").over(every)).withColumn("last", F.max("fp").over(every)).where("first <> last").select("key", "fp", "first")
+    shared = scratch.save(shared.distinct(), "shared")
+    marked = scratch.save(keyed.drop("keys"), "marked")
+    scratch.drop("keyed")
+    fps = marked.groupBy("fp", *_SIFT).agg(F.min("doc_id").alias("least"))
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    shared = scratch.save(shared.join(sizes, "key").join(fps.drop("least"), "fp"), "sized")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.save(pairs, f"{name}-pairs")
+        asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+        ids = fps.join(asked, "fp", "left_semi").select(F.col("least").alias("id")).distinct()
+        held = narrow.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        sets = _with(held, "text", (), "fp bigint, size bigint, hashes array<bigint>", _sets).join(asked, "fp", "left_semi")
+        return scratch.save(_verified(pairs, scratch.save(sets.dropDuplicates(["fp"]), f"{name}-sets")), name)
+
     small, crowded = shared.where(F.col("n") <= bucket_limit), shared.where(F.col("n") > bucket_limit)
-    pairs = _sifted(small, small, "x.fp < y.fp").unionByName(_sifted(crowded.where("fp = first"), crowded, "x.fp <> y.fp")).distinct()
-    links = scratch.save(_verified(scratch.save(pairs, "pairs"), sets), "links")
+    links = verified(_sifted(small, small, "x.fp < y.fp").unionByName(_sifted(crowded.where("fp = first"), crowded, "x.fp <> y.fp")).distinct(), "links")
     roots = scratch.save(connected_components(links, scratch), "roots")
     # keys of many sets that the first links have not joined
     placed = crowded.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     apart = scratch.save(placed.join(held.select("key", "most"), "key"), "apart")
     if apart.limit(1).count():
-        more = scratch.save(_sifted(apart.where("root <> most"), apart, "x.root <> y.root"), "more-pairs")
-        roots = connected_components(links.unionByName(_verified(more, sets)), scratch)
-    return roots
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_limit: int = 64) -> DataFrame:
-    """(doc_id, fingerprint, component_id, root): as ``simhash.near_duplicates``, by shingle sets; ``fingerprint`` is the set's signature.
-
-    Texts without words have the same, empty set and are linked to each other only.
-    """
-    scratch = Scratch(session_of(docs))
-    columns = "fp bigint, size bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, hashes array<bigint>, keys array<bigint>"
-    marked = scratch.save(_with(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ("doc_id",), columns, _columns), "sets")
-    sets = scratch.save(marked.drop("doc_id").dropDuplicates(["fp"]), "distinct")
-    marked = scratch.save(marked.select("doc_id", "fp"), "signatures")
-    scratch.drop("sets")
-    fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components_of(sets, scratch, bucket_limit)
+        more = verified(_sifted(apart.where("root <> most"), apart, "x.root <> y.root"), "more")
+        roots = connected_components(links.unionByName(more), scratch)
     placed = scratch.save(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     found = placed.select("fp", "root").join(least, "root")
-    return marked.join(found, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    return marked.select("doc_id", "fp").join(found, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_limit: int = 64) -> DataFrame:

@@ -12,9 +12,11 @@ Segments that are equal as a whole are counted in Spark without their bytes
 (combined before the shuffle): all their windows repeat.  The others of an
 anchor with several kinds of segment are fetched and brought into suffix order,
 from the last byte to the first, one column of aligned suffixes after another.
-There a suffix's longest previous factor reaches ``LENGTH`` exactly if, within
-the run of neighbours that agree that far, a smaller position stands before or
-after it; likewise for the longest next factor.
+There the previous and the next smaller position in suffix order give each
+suffix's longest previous factor: the longer of what it shares with either.  A
+factor of ``LENGTH`` bytes or more is an earlier copy, which ends where the
+factor does.  Positions counted backwards give the longest next factors in the
+same way; an earlier copy and a later one make a repeat.
 
 An anchor with very many kinds of segment is settled by counting window hashes
 in Spark, which needs no task to hold them together.
@@ -95,14 +97,20 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def window_hashes(table: np.ndarray, length: int) -> np.ndarray:
-    """For each row and column the hash of the ``length`` bytes from there; only those of one column compare."""
+def prefix_sums(table: np.ndarray) -> np.ndarray:
+    """For each row the sums of its first bytes' weights; differences between two columns tell stretches there apart."""
     columns = table.shape[1]
     powers = np.full(columns, 0x9FB21C651E98DF25, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
     sums = np.zeros((len(table), columns + 1), np.uint64)
     np.cumsum(_TABLE[table] * powers, axis=1, out=sums[:, 1:])
+    return sums
+
+
+def window_hashes(table: np.ndarray, length: int) -> np.ndarray:
+    """For each row and column the hash of the ``length`` bytes from there; only those of one column compare."""
+    sums = prefix_sums(table)
     return sums[:, length:] - sums[:, :-length]
 
 
@@ -115,16 +123,56 @@ def align(bodies: list[bytes], offset: np.ndarray, length: int) -> np.ndarray:
     return table
 
 
+def _common(sums: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray, c: int, length: int) -> np.ndarray:
+    """How many bytes the suffixes of rows x and y from column c have in common; they agree for ``length`` at least."""
+    low, high = np.full(len(x), length, np.int64), np.minimum(ends[x], ends[y]) - c
+    while (open_ := np.flatnonzero(low < high)).size:
+        i, j, middle = x[open_], y[open_], (low[open_] + high[open_] + 1) // 2
+        same = sums[i, c + middle] - sums[i, c] == sums[j, c + middle] - sums[j, c]
+        low[open_] = np.where(same, middle, low[open_])
+        high[open_] = np.where(same, high[open_], middle - 1)
+    return low
+
+
+def nearest_smaller(value: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the nearest place before each with a smaller value, the least of ``common`` up to there); -1 and 0 if there is none.
+
+    ``common[j]`` is what j shares with j - 1.  Places point to the one before
+    them and jump on along the pointers of others until they stand on a smaller
+    value; what they pass over is never smaller.
+    """
+    n = len(value)
+    to, shared = np.arange(-1, n - 1), common.copy()
+    todo = np.arange(n)
+    while True:
+        todo = todo[(to[todo] >= 0) & (shared[todo] > 0)]
+        todo = todo[value[to[todo]] >= value[todo]]
+        if not len(todo):
+            break
+        via = to[todo]
+        to[todo], shared[todo] = to[via], np.minimum(shared[todo], shared[via])
+    return to, np.where(to >= 0, shared, 0)
+
+
+def longest_factors(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix: what it shares with the previous or the next smaller position in suffix order."""
+    before = nearest_smaller(place, common)[1]
+    after = nearest_smaller(place[::-1], np.concatenate([[0], common[:0:-1]]))[1][::-1]
+    return np.maximum(before, after)
+
+
 def factors(table: np.ndarray, group: np.ndarray, place: np.ndarray, first: np.ndarray, more: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the longest previous and the longest next factor of each window reach ``length``.
+    """The longest previous and the longest next factor of each window; 0 where it is shorter than ``length``.
 
     Rows of ``table`` are aligned segments; row i has windows in the columns
     ``first[i]`` to ``first[i] + more[i]``.  ``group`` is its anchor, ``place``
-    orders the rows by position.
+    orders the rows by position.  The next factors are the previous ones of the
+    positions counted backwards.
     """
     n, columns = len(table), length - GRAM + 1
-    hashes = window_hashes(table, length)
-    earlier, later = np.zeros((n, columns), bool), np.zeros((n, columns), bool)
+    sums = prefix_sums(table)
+    ends = first + more + length
+    previous, following = np.zeros((n, columns), np.int32), np.zeros((n, columns), np.int32)
     rank = np.argsort(np.argsort(group, kind="stable"), kind="stable")
     base = group.astype(np.int64) * 256
     for c in range(table.shape[1] - 1, -1, -1):
@@ -135,24 +183,30 @@ def factors(table: np.ndarray, group: np.ndarray, place: np.ndarray, first: np.n
         order = order[(first[order] <= c) & (c <= first[order] + more[order])]
         if len(order) < 2:
             continue
-        h, g = hashes[order, c], group[order]
-        starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))  # runs that agree for `length` bytes
-        if len(starts) == len(order):
+        x, y = order[:-1], order[1:]
+        near = np.flatnonzero((group[x] == group[y]) & (sums[x, c + length] - sums[x, c] == sums[y, c + length] - sums[y, c]))
+        if not len(near):
             continue
-        sizes = np.diff(np.concatenate([starts, [len(order)]]))
-        p = place[order]
-        earlier[order, c] = p > np.repeat(np.minimum.reduceat(p, starts), sizes)
-        later[order, c] = p < np.repeat(np.maximum.reduceat(p, starts), sizes)
-    return earlier, later
-
-
-def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first column, last column) of the stretches of true in each row."""
-    padded = np.zeros((hit.shape[0], hit.shape[1] + 2), np.int8)
-    padded[:, 1:-1] = hit
-    step = np.diff(padded, axis=1)
-    row, start = np.nonzero(step == 1)
-    return row, start, np.nonzero(step == -1)[1] - 1
+        common = np.zeros(len(order), np.int64)
+        common[near + 1] = _common(sums, ends, x[near], y[near], c, length)
+        # only suffixes that share ``length`` bytes with a neighbour can have such a factor
+        held = np.unique(np.concatenate([near, near + 1]))
+        order, common = order[held], common[held]
+        previous[order, c] = longest_factors(place[order], common)
+        following[order, c] = longest_factors(-place[order], common)
+    return previous, following
+
+
+def covered(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first column, end column) of the stretches that factors of the given lengths cover in each row."""
+    row, start = np.nonzero(reach)
+    if not len(row):
+        return row, start, start
+    wide = 4 * reach.shape[1] + int(reach.max())
+    end = np.maximum.accumulate(row * wide + start + reach[row, start])
+    new = np.flatnonzero(np.concatenate([[True], row[1:] * wide + start[1:] > end[:-1]]))
+    last = np.concatenate([new[1:], [len(row)]]) - 1
+    return row[new], start[new], end[last] - row[last] * wide
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -188,20 +242,27 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     all_segments = scratch.save(map_arrow(rows, f"doc_id {id_type}, key bigint, h bigint, seg bigint, first int, more int, offset int", cut, "body", max_bytes=1 << 20, max_rows=4096), "segments")
     at = F.struct("doc_id", "key", "first")
     # counts are written before they are joined back: a join of two plain shuffles can be split where a key is hot
-    anchors = scratch.save(all_segments.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1"), "anchors")
-    found = scratch.save(all_segments.join(anchors, "h").withColumn("alike", F.expr("low = high")).drop("n", "low", "high"), "recurring")
+    least = F.min(at) if keep == "first" else F.lit(None)  # a struct's minimum is not aggregated by hashing
+    anchors = all_segments.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"), least.cast(f"struct<doc_id:{id_type},key:bigint,first:int>").alias("least"))
+    anchors = scratch.save(anchors.where("n > 1").selectExpr("h", "low = high as alike", "least"), "anchors")
+    found = scratch.save(all_segments.join(anchors, "h"), "recurring")
     scratch.drop("segments")
     scratch.drop("anchors")
-    kinds = found.groupBy("h", "seg", "alike").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "first", "more", "offset")).alias("least"))
-    kinds = scratch.save(kinds.where("n > 1 or not alike"), "kinds")
-    copies = found.join(kinds.where("n > 1").select("h", "seg", F.struct("least.doc_id", "least.key", "least.first").alias("least")), ["h", "seg"])
+    # all segments of such an anchor are copies of one
+    alike = found.where("alike").select("doc_id", "key", "first", "more", "least")
+    mixed = found.where("not alike").drop("alike", "least")
+    kinds = mixed.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "first", "more", "offset")).alias("least"))
+    kinds = scratch.save(kinds, "kinds")
+    # copies are dealt out by row first: a key with very many then comes from all tasks, and the join can be split there
+    spread = mixed.repartition("doc_id", "key", "first")
+    copies = spread.join(kinds.where("n > 1").select("h", "seg", F.struct("least.doc_id", "least.key", "least.first").alias("least")), ["h", "seg"]).select(*alike.columns)
+    copies = alike.unionByName(copies)
     if keep == "first":
         copies = copies.where(~at.eqNullSafe(F.col("least")))
     spans = copies.select("doc_id", "key", F.col("first").alias("s"), (F.col("first") + F.col("more") + length).alias("e"))
     # one segment of each kind, where an anchor has several kinds
-    mixed = kinds.where("not alike")
-    crowds = scratch.save(mixed.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")), "crowds")
-    wanted = mixed.join(crowds, "h").select("least.*", "h", (F.col("kinds") > most_segments).alias("crowded"))
+    crowds = scratch.save(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")), "crowds")
+    wanted = kinds.join(crowds, "h").select("least.*", "h", (F.col("kinds") > most_segments).alias("crowded"))
     per_text = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "first", "more", "offset", "crowded")).alias("wanted"))
     source = rows.alias("r").join(per_text.alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.key") == F.col("w.key"))).select("r.doc_id", "r.key", "r.body", "w.wanted")
 
@@ -256,12 +317,12 @@ def _settled(table: pa.Table, length: int, keep: str) -> Iterator[pa.RecordBatch
     place[order] = np.arange(len(h))
     lead = length - GRAM
     rows = align(table["body"].to_pylist(), offset, length)
-    earlier, later = factors(rows, np.unique(h, return_inverse=True)[1], place, lead - offset, more, length)
-    row, start, end = runs(earlier if keep == "first" else earlier | later)
+    previous, following = factors(rows, np.unique(h, return_inverse=True)[1], place, lead - offset, more, length)
+    row, start, end = covered(previous if keep == "first" else np.maximum(previous, following))
     if len(row):
         base = first[row] - (lead - offset[row])
         taken = pa.array(row)
-        yield pa.RecordBatch.from_arrays([ids.take(taken), table["key"].combine_chunks().take(taken), pa.array((base + start).astype(np.int32)), pa.array((base + end + length).astype(np.int32))], names=["doc_id", "key", "s", "e"])
+        yield pa.RecordBatch.from_arrays([ids.take(taken), table["key"].combine_chunks().take(taken), pa.array((base + start).astype(np.int32)), pa.array((base + end).astype(np.int32))], names=["doc_id", "key", "s", "e"])
 
 
 def _counted(crowded: DataFrame, id_type: str, length: int, keep: str) -> DataFrame:

@@ -420,6 +420,42 @@ def test_suffix(spark, corpus, keep, crowd):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(b), len(b) - len(want), spans, want), i
 
 
+def test_longest_factors():
+    rng = random.Random(5)
+    for text in ("banana", "aaaaaaaa", "abcabcabcabc", *("".join(rng.choice("ab") for _ in range(60)) for _ in range(20))):
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+
+        def shared(i, j, text=text):
+            n = 0
+            while max(i, j) + n < len(text) and text[i + n] == text[j + n]:
+                n += 1
+            return n
+
+        common = np.array([0, *(shared(i, j) for i, j in zip(order, order[1:]))])
+        got = suffix_dedup.longest_factors(np.array(order), common)
+        assert dict(zip(order, got.tolist())) == {i: max((shared(i, j) for j in range(i)), default=0) for i in order}, text
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_suffix_whole_length(spark, corpus, keep):
+    """At 400 bytes, with very long texts, null ids and repeated rows among the copies."""
+    rng = random.Random(9)
+    base = [corpus[i] for i in sorted(corpus) if len(corpus[i]) > 500][:12]
+    long = " ".join(rng.choice(["red", "green", "blue", "cyan", "pink"]) + str(rng.randrange(10**6)) for _ in range(20_000))
+    passage = base[1][:430]
+    texts = [*base, long, long[:90_000] + "#" + long[90_000:], "x" * 100_000, long[50_000:51_000], *(t[:100] + passage + t[100:] for t in base[3:6]), "é" * 300 + passage, passage[:399], *ODD[:5]]
+    ids = list(range(len(texts)))
+    if keep == "none":
+        texts, ids = [*texts, base[0], base[2], base[2]], [*ids, None, None, 2]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs(spark, texts, ids), keep=keep, with_kept=True).collect())
+    raw = [(t or "").encode() for t in texts]
+    gone, want = slow_repeats(raw, 400, keep), []
+    for i, b, g in zip(ids, raw, gone, strict=True):
+        left = bytes(x for x, y in zip(b, g, strict=True) if not y)
+        want.append((-1 if i is None else i, len(b), len(b) - len(left), sum(1 for j in range(len(b)) if g[j] and (j == 0 or not g[j - 1])), left))
+    assert got == sorted(want)
+
+
 def test_suffix_odd(spark):
     same = suffix_dedup.remove_repeats(docs(spark, ["q" * 399, "r" * 400, "r" * 400, None], [None, 1, 1, 2])).collect()
     assert sorted((r.n_bytes, r.n_removed) for r in same) == [(0, 0), (399, 0), (400, 400), (400, 400)]

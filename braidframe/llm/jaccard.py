@@ -1,30 +1,35 @@
-"""Near-duplicate detection by the similarity of five-word shingle sets, without misses.
+"""SimHash near-duplicate detection of five-word shingles, completed so that no pair is missed.
 
 Two texts are linked if the sets of their shingles' 64-bit hashes have a Jaccard
-similarity of 4/5 or more.  Such sets of a and b shingles differ in (a + b) / 9
+similarity of 4/5 or more.  The Golay keys of their SimHash fingerprints bring
+together texts that differ little; at 4/5, however, fingerprints of 64 bits
+differ in about ten bits, which no Golay key bridges.  So sets meet under a
+second kind of key too.  Linked sets of a and b shingles differ in (a + b) / 9
 shingles at most, so of (a + b) / 9 + 1 parts into which hashes are dealt, one
-part holds the same shingles in both: its content is the key under which the two
-meet (Arasu, Ganti and Kaushik's PartEnum, first level).  Sizes fall into classes
-which grow by 5/4; a set has the keys of its own class and of the next one, as a
-linked set lies there at most.  An empty part is a key only for sets that have
-no more filled parts than may differ, which are those that need it.
-
-Pairs under a key are sifted by size and by the parities of 256 counts, both of
-which only rule out pairs that cannot be linked, and verified by their sets.
-Keys with more than ``bucket_limit`` sets link all to one of them first; what
-such a link does not join is then compared with the key's other sets, but for
-those of the component that most of them are in.
+part holds the same shingles in both: its content is the key (Arasu, Ganti and
+Kaushik's PartEnum, first level).  Sizes fall into classes which grow by 5/4; a
+set has the keys of its own class and of the next one, as a linked set lies
+there at most.  An empty part is a key only for sets that have no more filled
+parts than may differ, which are those that need it.
+
+Each distinct set is given its keys once.  Keys go through the shuffle in packed
+runs, and a task remembers the first set of each key only, so that a key which
+very many sets have is streamed and never held.  Each set is compared with the
+one that it has most keys in common with; then, under keys whose sets these
+links have not joined, those of different components are.  Pairs are sifted by
+size and by the parities of counts, 512 of them where sets meet and as many as
+shingles for the pairs that are left.  Sift only rules out what cannot be linked;
+verified are the texts themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -32,20 +37,16 @@ from .common import Scratch, map_arrow, session_of
 from .components import connected_components
 
 SHINGLE_WORDS = 5
-SEED = 42
+#: Keys of one bucket, on average, and those a task looks at together.
+BUCKET_KEYS, CHUNK_KEYS = 1 << 20, 1 << 18
+#: Counts whose parities are kept beside each key.
+BITS = 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Distinct hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < SHINGLE_WORDS:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE_WORDS)), strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, max(1, len(words) - SHINGLE_WORDS + 1)))
+    return np.unique(simhash.shingle_hashes(text, SHINGLE_WORDS))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,63 +88,171 @@ def part_keys(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parities(hashes: np.ndarray) -> list[int]:
-    """256 bits: whether an odd number of shingles falls on each; sets differ in as many shingles as bits at least."""
-    bits = (np.bincount((_mix(hashes) >> np.uint64(8) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64).tolist()
+def parities(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """So many bits, a power of two: whether an odd number of shingles falls on each; sets differ in as many shingles as bits at least."""
+    return np.packbits((np.bincount((_mix(hashes) >> np.uint64(8) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def wide_parities(hashes: np.ndarray) -> bytes:
+    """Parities of at least as many counts as shingles."""
+    return parities(hashes, max(BITS, 1 << max(0, len(hashes) - 1).bit_length())).tobytes()
+
+
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parities of fewer counts."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
 def _with(docs: DataFrame, text: str, keep: tuple[str, ...], columns: str, of) -> DataFrame:
+    """The columns ``keep`` and those that ``of`` makes of the shingle hashes of each text."""
     narrow = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]), columns])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        added = of([shingle_set(t) for t in batch.column(len(keep)).to_pylist()])
+        added = of([simhash.shingle_hashes(t, SHINGLE_WORDS) for t in batch.column(len(keep)).to_pylist()])
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *added.values()], names=[*keep, *added])
 
     return map_arrow(narrow, schema, step, "__text")
 
 
-def _signatures(sets: list[np.ndarray]) -> pa.Array:
-    return pa.array(np.array([signature(s) for s in sets], np.uint64).view(np.int64))
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def with_signature(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "fp") -> DataFrame:
     """The columns ``keep`` and ``name`` (the signature as a signed long)."""
-    return _with(docs, text, keep, f"`{name}` bigint", lambda sets: {name: _signatures(sets)})
+    return _with(docs, text, keep, f"`{name}` bigint", lambda all_: {name: _longs([signature(np.unique(h)) for h in all_])})
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+_P = tuple(f"p{i}" for i in range(BITS // 64))
 
 
-def _columns(sets: list[np.ndarray]) -> dict[str, pa.Array]:
-    bits = list(zip(*map(parities, sets), strict=True))
+def _marks(hashes: list[np.ndarray]) -> dict[str, pa.Array]:
+    sets = [np.unique(h) for h in hashes]
+    bits = np.stack([parities(s).view(np.int64) for s in sets])
     return {
-        "fp": _signatures(sets), "size": pa.array([len(s) for s in sets], pa.int64()), **{f"p{i}": pa.array(b, pa.int64()) for i, b in enumerate(bits)},
-        "keys": _lists([part_keys(s) for s in sets]),
+        "fp": _longs([signature(s) for s in sets]), "sim": _longs([simhash.simhash(h) for h in hashes]), "size": pa.array([len(s) for s in sets], pa.int64()),
+        "wide": pa.array([wide_parities(s) for s in sets], pa.binary()), **{p: pa.array(bits[:, i]) for i, p in enumerate(_P)},
     }
 
 
-def _sets(sets: list[np.ndarray]) -> dict[str, pa.Array]:
-    return {"fp": _signatures(sets), "size": pa.array([len(s) for s in sets], pa.int64()), "hashes": _lists(sets)}
+def packed_keys(sets: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, keys, the sets' signatures): the keys of all sets in runs, one for each bucket; 40 bits of a key tell it from others of its bucket."""
+    found = [part_keys(s) for s in sets]
+    keys = np.concatenate(found)
+    owner = np.repeat(np.array([signature(s) for s in sets], np.uint64), [len(x) for x in found])
+    bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    keys = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+    order = np.argsort(bucket, kind="stable")
+    starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for part in np.split(order, starts[1:]) if len(order) else ():
+        yield int(bucket[part[0]]), keys[part].tobytes(), owner[part].tobytes()
 
 
-_SIFT = ("size", "p0", "p1", "p2", "p3")
+class SharedKeys:
+    """Streams (key, set) of one bucket and gives back (key, set, first set) of the keys that several sets have.
 
+    Held are the distinct keys with their first sets; a key's other sets pass through.
+    """
 
-def _sifted(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of a key's rows which size and parities do not rule out."""
-    odd = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(4))
-    pairs = left.alias("x").join(right.alias("y"), F.expr(f"x.key = y.key and {condition} and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size) and 9 * ({odd}) <= x.size + y.size"))
-    return pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
+    def __init__(self) -> None:
+        self.keys, self.first, self.told = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def add(self, keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        keys, sets = keys[order], sets[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        counts = np.diff(np.append(starts, len(keys)))
+        own, first = keys[starts], sets[starts].copy()
+        at = np.searchsorted(self.keys, own)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == own[known]
+        first[known] = self.first[at[known]]
+        shared = known | (counts > 1)
+        late = at[known][~self.told[at[known]]]  # their first set was not given back, as it stood alone
+        self.told[late] = True
+        inside = np.repeat(shared, counts)
+        out = (np.concatenate([self.keys[late], keys[inside]]), np.concatenate([self.first[late], sets[inside]]), np.concatenate([self.first[late], np.repeat(first, counts)[inside]]))
+        new = ~known
+        merged = np.concatenate([self.keys, own[new]])
+        by = np.argsort(merged, kind="stable")
+        self.keys, self.first, self.told = merged[by], np.concatenate([self.first, first[new]])[by], np.concatenate([self.told, shared[new]])[by]
+        return out
+
+
+def shared_keys(texts: DataFrame, buckets: int) -> DataFrame:
+    """(key, fp, first): the keys that several sets have, with each of them and with the one seen first."""
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs = list(packed_keys([shingle_set(t) for t in batch.column(0).to_pylist()], buckets))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*runs, strict=True) if runs else ((), (), ()), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "owners"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, at, held, n = SharedKeys(), None, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                raw, owners = (b"".join(c) for c in zip(*held, strict=True))
+                held.clear()
+                keys = np.zeros((len(owners) // 8, 8), np.uint8)
+                keys[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+                out = seen.add(keys.view("<u8").ravel() | np.uint64(at << 40), np.frombuffer(owners, np.uint64))
+                for a in range(0, len(out[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)].view(np.int64)) for c in out], names=["key", "fp", "first"])
+
+        for b in batches:
+            for bucket, keys, owners in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != at:
+                    yield from flush()
+                    seen, at, n = SharedKeys(), bucket, 0
+                held.append((keys, owners))
+                n += len(owners) // 8
+                if n >= CHUNK_KEYS:
+                    yield from flush()
+                    n = 0
+        yield from flush()
+
+    runs = map_arrow(texts, "bucket int, keys binary, owners binary", pack, "text", max_rows=1024)
+    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "key bigint, fp bigint, first bigint")
+
+
+def _near(x: str, y: str) -> str:
+    """A condition that linked sets meet: sizes, and parities that differ in as many counts as shingles may at most."""
+    odd = " + ".join(f"bit_count({x}.{p} ^ {y}.{p})" for p in _P)
+    return f"5 * least({x}.size, {y}.size) >= 4 * greatest({x}.size, {y}.size) and 9 * ({odd}) <= {x}.size + {y}.size"
+
+
+def _sifted(pairs: DataFrame, fps: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), a < b, which sizes and wide parities do not rule out."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(fps.select(F.col("fp").alias(side), F.col("size").alias(f"n{side}"), F.col("wide").alias(f"w{side}")), side)
 
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for na, nb, wa, wb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "wa", "wb")), strict=True):
+            m = min(len(wa), len(wb))
+            x, y = (fold(np.frombuffer(w, np.uint8), m) for w in (wa, wb))
+            keep.append(9 * int(np.bitwise_count(x ^ y).sum()) <= na + nb)
+        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    x, y = (sets.select(F.col("fp").alias(c), F.col("size").alias(f"n{c}"), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    same = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(x, "a").join(y, "b").where(9 * same >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    pairs = pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b", "na", "nb", "wa", "wb")
+    return map_arrow(pairs, "a bigint, b bigint", step)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose texts' shingle sets have a similarity of 4/5 or more."""
+    x, y = (texts.select(F.col("fp").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, held = [], {}
+        for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
+            held = {k: held[k] if k in held else shingle_set(t) for k, t in ((a, ta), (b, tb))}
+            same = len(np.intersect1d(held[a], held[b], assume_unique=True))
+            keep.append(9 * same >= 4 * (len(held[a]) + len(held[b])))
+        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb"), "a bigint, b bigint", step, "ta")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_limit: int = 64) -> DataFrame:
@@ -152,37 +261,51 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Texts without words have the same, empty set and are linked to each other only.
     """
     scratch = Scratch(session_of(docs))
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    columns = "fp bigint, size bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, keys array<bigint>"
-    keyed = scratch.save(_with(narrow, "text", ("doc_id",), columns, _columns), "keyed")
-    # a key's rows meet in a task; they are a small part of all rows, as a set has many keys
-    rows, every = keyed.select("fp", F.explode("keys").alias("key")), Window.partitionBy("key")
-    shared = rows.withColumn("first", F.min("fp").over(every)).withColumn("last", F.max("fp").over(every)).where("first <> last").select("key", "fp", "first")
-    shared = scratch.save(shared.distinct(), "shared")
-    marked = scratch.save(keyed.drop("keys"), "marked")
-    scratch.drop("keyed")
-    fps = marked.groupBy("fp", *_SIFT).agg(F.min("doc_id").alias("least"))
-    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    shared = scratch.save(shared.join(sizes, "key").join(fps.drop("least"), "fp"), "sized")
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    columns = ", ".join(f"{p} bigint" for p in _P)
+    every = scratch.save(_with(narrow, "text", ("doc_id",), f"fp bigint, sim bigint, size bigint, wide binary, {columns}", _marks), "every")
+    marked = scratch.save(every.select("doc_id", "fp"), "marked")
+    fps = scratch.save(every.groupBy("fp", "size", "wide", *_P).agg(F.min("doc_id").alias("least"), F.min("sim").alias("sim")), "fps")
+    scratch.drop("every")
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        """(fp, text) of the rows whose ids are the least ones of the wanted sets; a repeated id brings other texts too."""
+        wanted = asked.select(F.col("least").alias("id"), "fp")
+        return narrow.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("fp", "text")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(pairs, f"{name}-pairs")
+        pairs = scratch.save(_sifted(pairs, fps), f"{name}-pairs")
         asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        ids = fps.join(asked, "fp", "left_semi").select(F.col("least").alias("id")).distinct()
-        held = narrow.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        sets = _with(held, "text", (), "fp bigint, size bigint, hashes array<bigint>", _sets).join(asked, "fp", "left_semi")
-        return scratch.save(_verified(pairs, scratch.save(sets.dropDuplicates(["fp"]), f"{name}-sets")), name)
-
-    small, crowded = shared.where(F.col("n") <= bucket_limit), shared.where(F.col("n") > bucket_limit)
-    links = verified(_sifted(small, small, "x.fp < y.fp").unionByName(_sifted(crowded.where("fp = first"), crowded, "x.fp <> y.fp")).distinct(), "links")
+        texts = _with(texts_of(fps.join(asked, "fp", "left_semi")), "text", ("fp", "text"), "own bigint", lambda all_: {"own": _longs([signature(np.unique(h)) for h in all_])})
+        texts = scratch.save(texts.where("own = fp").select("fp", "text").dropDuplicates(["fp"]), f"{name}-texts")
+        found = scratch.save(_verified(pairs, texts), name)
+        scratch.drop(f"{name}-texts")
+        return found
+
+    # fingerprints: each set with the least one of its fingerprint, and the least ones of linked fingerprints
+    hubs = scratch.save(fps.groupBy("sim").agg(F.min("fp").alias("hub")), "hubs")
+    own = fps.join(hubs, "sim").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    links = scratch.save(simhash.fingerprint_links(hubs.select(F.col("sim").alias("fp")), scratch, bucket_limit), "linked")
+    across = links.join(hubs.select(F.col("sim").alias("a"), F.col("hub").alias("ha")), "a").join(hubs.select(F.col("sim").alias("b"), F.col("hub").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    # parts: each set with the one that it shares most keys with
+    total = fps.agg(F.sum("size")).first()[0] or 0
+    shared = scratch.save(shared_keys(texts_of(fps).select("text"), max(32, -(-total // (2 * BUCKET_KEYS)))), "shared")
+    most = shared.where("fp <> first").groupBy("fp", "first").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.max_by("first", F.struct("n", "first")).alias("first"))
+    pairs = own.unionByName(across).unionByName(most.select(F.col("fp").alias("a"), F.col("first").alias("b")))
+    links = verified(pairs, "links")
     roots = scratch.save(connected_components(links, scratch), "roots")
-    # keys of many sets that the first links have not joined
-    placed = crowded.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    apart = scratch.save(placed.join(held.select("key", "most"), "key"), "apart")
-    if apart.limit(1).count():
-        more = verified(_sifted(apart.where("root <> most"), apart, "x.root <> y.root"), "more")
-        roots = connected_components(links.unionByName(more), scratch)
+    # what these links have not joined: pairs of different components under a key
+    known = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "size", *_P, F.coalesce("root", "fp").alias("root"))
+    placed = shared.select("key", "fp").join(known, "fp")
+    held = shared.select("key", "fp").join(known.select("fp", "root"), "fp").groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
+    held = scratch.save(held.groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("n")).where("parts > 1").drop("parts"), "held")
+    apart = placed.join(held, "key")
+    few, crowded = apart.where(F.col("n") <= bucket_limit), apart.where(F.col("n") > bucket_limit)
+    rest = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key and x.fp < y.fp and x.root <> y.root and x.most = y.most and {_near('x', 'y')}"))
+    more = crowded.where("root <> most").alias("x").join(crowded.alias("y"), F.expr(f"x.key = y.key and x.root <> y.root and {_near('x', 'y')}"))
+    ends = (F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    rest = rest.select(*ends).unionByName(more.select(*ends))
+    roots = connected_components(links.unionByName(verified(rest, "more")), scratch)
     placed = scratch.save(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     found = placed.select("fp", "root").join(least, "root")

@@ -43,18 +43,21 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """The unsigned SimHash of one text; 0 for a null or empty one."""
+def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The hash of each shingle, repeats included; a text of fewer words is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space count
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle_words:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle_words)), strict=False))
-    n = max(1, len(words) - shingle_words + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, max(1, len(words) - shingle_words + 1))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half of the hashes; 0 for none."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for start in range(0, n, BLOCK):
         part = hashes[start : start + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
         for byte in range(8):
@@ -63,6 +66,11 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """The unsigned SimHash of one text; 0 for a null or empty one."""
+    return simhash(shingle_hashes(text, shingle_words))
+
+
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -165,17 +173,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def keep_representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_limit: int = 64, find: Callable[..., DataFrame] = near_duplicates, mark: Callable[..., DataFrame] = with_fingerprint) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the smallest id.
 
-    Columns stay as they are.  If the smallest id is repeated (or every id of a
-    component is null), one of those rows stays.  ``find`` and ``mark`` give the
-    components and the fingerprints by which rows are told apart.
+    Columns stay as they are.  Rows are told apart by id and fingerprint, so an
+    id that is repeated with other texts keeps only the row that is wanted; of
+    rows that agree in both (or in the fingerprint if every id of a component is
+    null) the one of the least JSON form stays.  ``find`` and ``mark`` give the
+    components and the fingerprints.
     """
-    found = find(docs, text, doc_id, bucket_limit)
     scratch = Scratch(session_of(docs))
-    chosen = scratch.save(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("doc_id").alias("__id"), F.count(F.lit(1)).alias("n"), F.first("fingerprint").alias("__fp")), "chosen")
-    kept = docs.join(chosen.where("n = 1 and __id is not null").select("__id"), docs[doc_id] == F.col("__id"), "left_semi")
-    again = chosen.where("n > 1 or __id is null")
+    found = scratch.save(find(docs, text, doc_id, bucket_limit).select("doc_id", "fingerprint", "component_id", "root"), "found")
+    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("doc_id").alias("__id"), F.min("fingerprint").alias("__fp"))
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__many"))
+    chosen = scratch.save(least.join(repeated, F.col("__id").eqNullSafe(F.col("__many")), "left").withColumn("plain", F.col("__id").isNotNull() & F.col("__many").isNull()).drop("__many"), "chosen")
+    kept = docs.join(chosen.where("plain").select("__id"), docs[doc_id] == F.col("__id"), "left_semi")
+    again = chosen.where("not plain")
     if again.limit(1).count():
-        marked = mark(docs, text, keep=tuple(docs.columns), name="__fp64").withColumn("__fp", F.lower(F.lpad(F.hex("__fp64"), 16, "0")))
-        left = marked.join(again.select(F.col("__id").alias("__one"), F.col("__fp").alias("__print"), F.col("root").alias("__root")), F.col(doc_id).eqNullSafe(F.col("__one")) & (F.col("__fp") == F.col("__print")))
-        kept = kept.unionByName(left.dropDuplicates(["__root"]).select(*docs.columns))
+        marked = mark(docs, text, keep=tuple(docs.columns), name="__fp64").withColumn("__mark", F.lower(F.lpad(F.hex("__fp64"), 16, "0")))
+        left = marked.join(again.select("__id", "__fp", F.col("root").alias("__root")), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__fp")))
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = left.select("__root", row.alias("__row")).groupBy("__root").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+        kept = kept.unionByName(one.select("__row.*"))
     return kept

@@ -101,6 +101,27 @@ def test_simhash_representatives(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_representatives_of_one_id_on_several_texts(spark):
+    same, other = "one two three four five six", "alpha beta gamma delta epsilon zeta"
+    for keep in (simhash.keep_representatives, jaccard.keep_representatives):
+        kept = keep(docs(spark, [same, same, other], [0, 1, 1]))
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, same), (1, other)]
+        left = [keep(docs(spark, [same, same, other], [1, 1, None]).orderBy("source", ascending=up)).select("doc_id", "source").orderBy("doc_id").collect() for up in (True, False)]
+        assert left[0] == left[1] and len(left[0]) == 2
+
+
+def test_shared_keys_in_chunks():
+    rng = np.random.default_rng(4)
+    keys, sets = rng.integers(0, 300, 1000).astype(np.uint64), np.arange(1000, dtype=np.uint64)
+    seen, got = jaccard.SharedKeys(), []
+    for a in range(0, 1000, 37):
+        got += zip(*(x.tolist() for x in seen.add(keys[a : a + 37], sets[a : a + 37])), strict=True)
+    own = defaultdict(list)
+    for k, f in zip(keys.tolist(), sets.tolist(), strict=True):
+        own[k].append(f)
+    assert sorted(got) == sorted((k, f, fs[0]) for k, fs in own.items() if len(fs) > 1 for f in fs)
+
+
 def slow_jaccard(texts):
     sets = []
     for t in texts:
@@ -125,8 +146,10 @@ def test_shingle_keys_meet_at_four_fifths():
             cut = rng.integers(0, only + 1)
             a, b = np.unique(hashes[cut:]), np.unique(np.concatenate([hashes[:cut], hashes[only:]]))
             assert set(jaccard.part_keys(a).tolist()) & set(jaccard.part_keys(b).tolist())
-            odd = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(jaccard.parities(a), jaccard.parities(b), strict=True))
-            assert odd <= len(np.setxor1d(a, b))
+            for bits in (64, 512, 4096):
+                odd = jaccard.parities(a, bits) ^ jaccard.parities(b, bits)
+                assert int(np.bitwise_count(odd).sum()) <= len(np.setxor1d(a, b))
+                assert (jaccard.fold(jaccard.parities(a, 2 * bits), bits // 8) == jaccard.parities(a, bits)).all()
 
 
 @pytest.mark.parametrize("limit", [64, 1])

@@ -3,9 +3,10 @@
 A scan finds candidate values in whole texts: the three base kinds (``assign``,
 ``access``, ``hex``) and long mixed tokens.  The hashes of all candidates are
 aggregated over the corpus by distinct repositories and distinct owners.  A value
-which several owners or very many repositories hold is a widely copied example
-(documentation, templates); a value that belongs to few owners and looks random
-is taken for a live credential.  Live tokens are added to the base spans.
+which several owners and many repositories hold is a widely copied example
+(documentation, templates); copies within few owners excuse nothing.  A value
+that is no such example and looks random is taken for a live credential: its
+place is added to the base spans as ``live``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of 32 and more, as shorter runs a
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 WORDS = ("password", "passwd", "secret", "token", "api")
 PLACEHOLDER = re.compile(r"example|sample|placeholder|changeme|your[_-]?|dummy|xxxx|0000000|12345678|abcdef", re.IGNORECASE)
-#: A value is owner-specific up to this many owners and repositories; above either it is a copied example.
+#: Above both so many owners and so many repositories a value is a copied example.
 MOST_OWNERS, MOST_REPOSITORIES = 2, 20
 LEAST_ENTROPY = 3.0
 #: Copied examples up to this many are sent to all tasks; more are joined.
@@ -107,7 +108,7 @@ def frequencies(found: DataFrame, repository: Column, owner: Column) -> DataFram
 
 
 def copied_examples(freq: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
-    return freq.where((F.col("owners") > most_owners) | (F.col("repositories") > most_repositories))
+    return freq.where((F.col("owners") > most_owners) & (F.col("repositories") > most_repositories))
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repository: str = "doc_id", owner: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
@@ -133,7 +134,8 @@ def digest(scanned: DataFrame) -> DataFrame:
     rank = F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))])
     base = F.filter("found", lambda f: f["kind"] != "live")
     live = F.filter("found", lambda f: f["random"] & ~F.array_contains(F.col("examples"), f["h"]))
-    added = F.filter(live, lambda f: f["kind"] == "live")
+    added = F.array_distinct(F.transform(live, lambda f: F.struct(f["vs"].alias("s"), f["ve"].alias("e"), F.lit("live").alias("kind"))))
+    plain = F.transform(base, lambda f: F.struct(f["s"].alias("s"), f["e"].alias("e"), f["kind"].alias("kind")))
 
     def line(spans: Column) -> Column:
         sorted_ = F.array_sort(F.transform(spans, lambda f: F.struct(f["s"].alias("s"), rank[f["kind"]].alias("r"), f["e"].alias("e"), f["kind"].alias("k"))))
@@ -142,13 +144,14 @@ def digest(scanned: DataFrame) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return scanned.select("doc_id", *map(count, KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.concat(base, added)).alias("spans"), F.size(live).cast("long").alias("n_live"), F.size("examples").cast("long").alias("n_copied"))
+    return scanned.select("doc_id", *map(count, KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.concat(plain, added)).alias("spans"), F.size(added).cast("long").alias("n_live"), F.size("examples").cast("long").alias("n_copied"))
 
 
 def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repository: str = "doc_id", owner: str = "source", mark: str = "[SECRET]", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
-    """``docs`` with every value that is not a copied example replaced by ``mark``; columns and rows stay.
+    """``docs`` with credentials replaced by ``mark``; columns and rows stay.
 
-    ``n_chars``, if there is such a column, follows the text.  A null text stays null.
+    A value is left only if it is a copied example and does not look random, so
+    that a real key which has been copied about goes too.  ``n_chars``, if there is such a column, follows the text.  A null text stays null.
     """
     scratch = Scratch(session_of(docs))
     renamed = docs.select(F.col(doc_id).alias("doc_id"), F.col(repository).cast("string").alias("__repo"), F.col(owner).cast("string").alias("__own"), F.col(text).alias("text"))
@@ -158,10 +161,10 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", reposito
     sent = docs.sparkSession.sparkContext.broadcast({r.h for r in examples.collect()} if few else set())
     at, columns = docs.columns.index(text), docs.columns
     if few:
-        with_examples = docs.withColumn("__examples", F.lit(None).cast("array<string>"))
+        with_examples = docs.withColumn("__copied_examples", F.lit(None).cast("array<string>"))
     else:
-        held = found.select("doc_id", F.explode("found.h").alias("h")).distinct().join(examples, "h").groupBy("doc_id").agg(F.collect_list("h").alias("__examples")).withColumnRenamed("doc_id", "__id")
-        with_examples = docs.join(held, docs[doc_id].eqNullSafe(F.col("__id")), "left").drop("__id")
+        held = found.select("doc_id", F.explode("found.h").alias("h")).distinct().join(examples, "h").groupBy("doc_id").agg(F.collect_list("h").alias("__copied_examples")).withColumnRenamed("doc_id", "__candidate_id")
+        with_examples = docs.join(held, docs[doc_id].eqNullSafe(F.col("__candidate_id")), "left").drop("__candidate_id")
     out_type = docs.schema[text].dataType.simpleString()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
@@ -170,7 +173,7 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", reposito
             return t
         out, last, copied = [], 0, sent.value.union(own or ())
         for f in sorted(_found(t), key=lambda f: (f["vs"], -f["ve"])):
-            if f["h"] not in copied and f["ve"] > last:
+            if (f["random"] or f["h"] not in copied) and f["ve"] > last:
                 out += [t[last : max(last, f["vs"])], mark if f["vs"] >= last else ""]
                 last = f["ve"]
         return "".join(out) + t[last:] if last else t

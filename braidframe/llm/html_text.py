@@ -2,11 +2,13 @@
 
 Pages are parsed into element trees.  The subtrees of every page are hashed and
 counted per host in Spark; subtrees that recur on many pages of their host are
-that site's template and are deleted.  What markup itself names as no part of an
-article (menus, footers, forms, scripts, adverts, comments, ...) is deleted too,
-and if a page marks its article, the text is taken from there.  Within a marked
-article text blocks are never taken for template, however often they recur;
-there only recurring stretches that are mostly links are.
+that site's template and are deleted.  Pages that agree count once, so that
+copies do not make each other's text a template.  Within a marked article the
+bar is higher: a block goes if most of the host's articles hold it, but a
+stretch that is mostly links goes as it would outside.  What does not recur is
+judged by markup: elements that it names as no part of an article (menus,
+footers, forms, scripts, adverts, comments, ...) are deleted too, and if a page
+marks its article, the text is taken from there.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from .common import Scratch, map_arrow, session_of
 
 #: A subtree is template if at least so many pages and this share of its host's pages hold it.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: A text block within marked articles is if at least so many articles and this share of its host's hold it.
+LEAST_ARTICLES, ARTICLE_SHARE = 20, 0.5
+#: Tells the hash of a block within an article from that of the same subtree elsewhere (any fixed number).
+_INNER = 0x2545F4914F6CDD1D
 #: Template hashes up to this many are broadcast; more are joined.
 MOST_SENT = 200_000
 
@@ -191,18 +197,30 @@ def hash_subtrees(root: Element) -> None:
         e.size, e.links = size, size if e.tag == "a" else links
 
 
-def candidates(root: Element) -> set[int]:
-    """Hashes of the subtrees that may be template: all outside marked articles, and link lists within."""
-    articles = {id(e) for e in find_articles(root)}
-    out: set[int] = set()
+def candidates(root: Element) -> tuple[set[int], set[int], int]:
+    """Hashes of the subtrees that may be template: all outside marked articles and link lists within, blocks within, and the hash of the articles."""
+    articles = find_articles(root)
+    marked = {id(e) for e in articles}
+    outer: set[int] = set()
+    inner: set[int] = set()
     todo = [(root, False)]
     while todo:
         e, inside = todo.pop()
-        inside = inside or id(e) in articles
-        if e is not root and e.size and id(e) not in articles and e.tag not in ("html", "body", "head") and (not inside or 2 * e.links >= e.size) and e.tag not in RAW:
-            out.add(e.key)
+        if e is not root and e.size and id(e) not in marked and e.tag not in ("html", "body", "head") and e.tag not in RAW:
+            if not inside or 2 * e.links >= e.size:
+                outer.add(e.key)
+            elif e.tag in BLOCKS:
+                inner.add(e.key ^ _INNER)
+        inside = inside or id(e) in marked
         todo += [(x, inside) for x in e.items if isinstance(x, Element)]
-    return out
+    return outer, inner, xxhash.xxh3_64_intdigest(",".join(str(e.key) for e in articles)) - (1 << 63)
+
+
+def is_template(e: Element, template: frozenset[int] | set[int], inside: bool) -> bool:
+    """Whether the host's counts say that a subtree is template."""
+    if not inside or 2 * e.links >= e.size > 0:
+        return e.key in template
+    return e.tag in BLOCKS and e.key ^ _INNER in template
 
 
 def extract(root: Element, template: frozenset[int] | set[int]) -> str:
@@ -225,7 +243,7 @@ def extract(root: Element, template: frozenset[int] | set[int]) -> str:
                 flush()
             elif isinstance(x, str):
                 held.append(x)
-            elif x is not top and (named_off(x) or (x.key in template and (not inside or 2 * x.links >= x.size > 0))):
+            elif x is not top and (is_template(x, template, inside) or named_off(x)):
                 if x.tag in BLOCKS:
                     flush()
             elif x.tag in BLOCKS:
@@ -243,43 +261,49 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def subtree_counts(pages: DataFrame, page: str, url: str) -> DataFrame:
-    """(host, key, pages, host_pages): on how many pages of its host each subtree occurs, if on two at least."""
+def subtrees(pages: DataFrame, page: str, url: str) -> DataFrame:
+    """(host, inner, part, keys): the subtrees of each page that may be template; ``part`` names the page or, for those within articles, the articles."""
     narrow = pages.select(F.col(url).cast("string").alias("u"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("h"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, keys = [], []
+        rows = []
         for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root = parse(h)
             hash_subtrees(root)
-            hosts.append(host_of(u))
-            keys.append(sorted(candidates(root)))
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "keys"])
+            outer, inner, articles = candidates(root)
+            rows.append((host_of(u), False, root.key, sorted(outer)))
+            if inner:
+                rows.append((host_of(u), True, articles, sorted(inner)))
+        types = (pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["host", "inner", "part", "keys"])
 
-    return map_arrow(narrow, "host string, keys array<bigint>", step, "h")
+    return map_arrow(narrow, "host string, inner boolean, part bigint, keys array<bigint>", step, "h")
 
 
-def site_templates(pages: DataFrame, page: str = "html", url: str = "url", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, key) of template subtrees.
+def site_templates(pages: DataFrame, page: str = "html", url: str = "url", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_articles: int = LEAST_ARTICLES, article_share: float = ARTICLE_SHARE) -> DataFrame:
+    """(host, key) of template subtrees, counted over the distinct pages (within articles: distinct articles) of each host.
 
     A host has at most (subtrees of a page) / ``least_share`` of them, however many pages it has.
     """
     scratch = Scratch(session_of(pages))
-    seen = scratch.save(subtree_counts(pages, page, url), "subtrees")
-    sizes = seen.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= least_pages)
-    counts = seen.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    return counts.join(sizes, "host").where(F.col("n") >= least_share * F.col("host_pages")).select("host", "key")
+    seen = scratch.save(subtrees(pages, page, url).dropDuplicates(["host", "inner", "part"]), "subtrees")
+    least = F.when(F.col("inner"), least_articles).otherwise(least_pages)
+    share = F.when(F.col("inner"), article_share).otherwise(least_share)
+    sizes = seen.groupBy("host", "inner").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= least)
+    counts = seen.select("host", "inner", F.explode("keys").alias("key")).groupBy("host", "inner", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return counts.join(sizes, ["host", "inner"]).where(F.col("n") >= share * F.col("all")).select("host", "key")
 
 
-def extract_pages(pages: DataFrame, page: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url"), least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract_pages(pages: DataFrame, page: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url"), least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, least_articles: int = LEAST_ARTICLES, article_share: float = ARTICLE_SHARE) -> DataFrame:
     """The columns ``keep``, then text and n_chars (code points): one row per row of ``pages``.
 
     A null page counts as empty and gives an empty text; a null url belongs to a
-    host without name.  Repeated rows count as pages of their own.  An empty
-    table gives no rows.
+    host without name.  Repeated rows stay repeated, but count once for their
+    host's template.  A page is parsed twice, once for the counts and once for
+    its text, as trees are larger than pages.  An empty table gives no rows.
     """
     scratch = Scratch(session_of(pages))
-    templates = scratch.save(site_templates(pages, page, url, least_pages, least_share), "templates")
+    templates = scratch.save(site_templates(pages, page, url, least_pages, least_share, least_articles, article_share), "templates")
     few = templates.limit(MOST_SENT + 1).count() <= MOST_SENT
     by_host: dict[str, set[int]] = {}
     for r in templates.collect() if few else ():
@@ -291,7 +315,7 @@ def extract_pages(pages: DataFrame, page: str = "html", url: str = "url", keep:
     else:
         host = F.lower(F.regexp_extract(F.coalesce("__url", F.lit("")), r"^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
         own = templates.groupBy("host").agg(F.collect_list("key").alias("__own"))
-        rows = rows.withColumn("host", host).join(own, "host", "left").select(*keep, "__url", "__html", "__own")
+        rows = rows.withColumn("__host", host).join(own.withColumnRenamed("host", "__host"), "__host", "left").select(*keep, "__url", "__html", "__own")
     names = [*keep, "text", "n_chars"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-3]), "text string, n_chars bigint"])
 

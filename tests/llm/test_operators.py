@@ -514,6 +514,51 @@ def test_html_templates(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_templates_decide(spark):
+    """Texts with and without templates, on pages with and without marked articles; copies of a page count once."""
+    notice, menu = "<div class=x9>Support our work</div>", "<div class=x1><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul></div>"
+    rows = [(i, f"https://a.example/{i}", f"{menu}<article><p>Story {i}</p>{notice}<p>End of {i}</p></article>") for i in range(30)]
+    rows += [(100 + i, f"https://b.example/{i}", f"{menu}<div><h2>Tale {i}</h2><p>Plain {i}</p></div>{notice}") for i in range(30)]
+    rows += [(200 + i, "https://c.example/", f"{menu}<div><p>Copied about</p></div>") for i in range(30)]
+    rows += [(300 + i, f"https://d.example/{i}", "<article><p>Copied</p><p>article</p></article>" + "<!-- -->" * i) for i in range(30)]
+    rows += rows[:5]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    off = {r.page_id: r.text for r in html_text.extract_pages(pages, least_pages=10**9, least_articles=10**9).collect()}
+    assert all(on[i] == f"Story {i}\nEnd of {i}" and off[i] == f"Story {i}\nSupport our work\nEnd of {i}" for i in range(30))
+    assert all(on[100 + i] == f"Tale {i}\nPlain {i}" and off[100 + i] == f"Home\nBlog\nTale {i}\nPlain {i}\nSupport our work" for i in range(30))
+    assert all(on[200 + i] == off[200 + i] == "Home\nBlog\nCopied about" for i in range(30))
+    assert all(on[300 + i] == "Copied\narticle" for i in range(30))
+
+
+def test_html_subtree_counts(spark):
+    """Templates by brute force over the given pages."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    least, share = 2, 0.05
+    held = defaultdict(dict)
+    for r in pages.collect():
+        root = html_text.parse(r.html or "")
+        html_text.hash_subtrees(root)
+        outer, inner, articles = html_text.candidates(root)
+        held[html_text.host_of(r.url), False][root.key] = outer
+        if inner:
+            held[html_text.host_of(r.url), True][articles] = inner
+    want = set()
+    for (host, _), parts in held.items():
+        counts = Counter(k for keys in parts.values() for k in keys)
+        want |= {(host, k) for k, n in counts.items() if n >= least and n >= share * len(parts) and len(parts) >= least}
+    got = html_text.site_templates(pages, least_pages=least, least_share=share, least_articles=least, article_share=share).collect()
+    assert {(r.host, r.key) for r in got} == want and want
+
+
+def test_html_repeated_and_long(spark):
+    long = "<article>" + "".join(f"<p>paragraph number {i} &amp; more</p>" for i in range(20_000)) + "</article>"
+    pages = spark.createDataFrame([(1, "https://h.example/1", long, "a", "b", "c", 4)] * 2, "page_id long, url string, html string, __url string, __html string, host string, __own int")
+    for keep in (("page_id", "url"), ("page_id", "host")):
+        got = html_text.extract_pages(pages, keep=keep).collect()
+        assert len(got) == 2 and {r.text for r in got} == {"\n".join(f"paragraph number {i} & more" for i in range(20_000))}
+
+
 def test_html_joined_templates(spark, monkeypatch):
     monkeypatch.setattr(html_text, "MOST_SENT", 0)
     test_html_templates(spark)

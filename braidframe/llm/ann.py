@@ -29,6 +29,8 @@ from .common import Scratch, session_of
 SAMPLE, MOST_LEAVES = 16_384, 1_024
 LEAF_ROWS, BRANCHES, ROUNDS = 128, 8, 8
 CALIBRATION_QUERIES, RECALL = 96, 0.97
+#: Vectors with a component above this, or none above its inverse, are scaled.
+FAR = 1e100
 #: Vectors and queries of one block.
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 512
 
@@ -116,14 +118,16 @@ def usable_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """(id, v): the vectors that take part.
 
     Not those that are null or zero or hold a null or non-finite component, and
-    not those of a null id or of another length than most have.
+    not those of a null id or of another length than most have.  Vectors whose
+    squares a double cannot hold are scaled by a power of two, which changes no
+    cosine.
     """
     v = F.col(embedding).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    rows = rows.where(F.coalesce(finite, F.lit(False))).where((norm > 0) & (norm < float("inf")))
-    return rows
+    rows = rows.where(F.coalesce(finite, F.lit(False))).withColumn("m", F.array_max(F.transform("v", F.abs))).where("m > 0")
+    scale = F.when(F.col("m") > FAR, F.lit(2.0**-600)).when(F.col("m") < 1 / FAR, F.lit(2.0**600))
+    return rows.select("id", F.when(scale.isNull(), F.col("v")).otherwise(F.transform("v", lambda x: x * scale)).alias("v"))
 
 
 def block_top(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +164,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
     """(query_id, rank, vec_id, score): each query's k nearest rows found, ties to smaller ids.
 
     ``vectors`` and ``queries`` have the same columns; a query id is answered
-    once, a row of the same id never answers it.  Fewer candidates give fewer
+    once (if it is repeated, for its least vector), a row of the same id never
+    answers it.  Fewer candidates give fewer
     rows.  See ``usable_vectors`` for what takes no part.  Rows that repeat an
     id stay separate candidates.
     """
@@ -173,7 +178,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
         return empty
     dim, count = sizes[0].d, sizes[0].n
     rows = rows.where(F.size("v") == dim)
-    asked = usable_vectors(queries, vec_id, embedding).where(F.size("v") == dim).dropDuplicates(["id"])
+    asked = usable_vectors(queries, vec_id, embedding).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     # the tree, from the vectors of the smallest id hashes
     h = F.xxhash64(F.lit("sample"), "id")
     share = min(1.0, 1.3 * SAMPLE / count)

@@ -403,6 +403,40 @@ def test_neighbours_of_repeated_rows():
     assert np.allclose(score, [1, 1, 1, 1, 0.8] + [1] * 5)
 
 
+def test_neighbours_of_extreme_vectors(spark):
+    big, small, tiny = 2.0**700, 2.0**-700, 5e-324
+    rows = [(0, [big, big]), (1, [big, big]), (2, [1.0, 1.0]), (50, [small, small]), (100, [tiny, 0.0]), (101, [0.0, 1e308])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(vectors, vectors.where("vec_id % 50 = 0")).collect())
+    half = 2**0.5 / 2
+    want = {0: [(1, 1), (2, 1), (50, 1), (100, half), (101, half)], 50: [(0, 1), (1, 1), (2, 1), (100, half), (101, half)], 100: [(0, half), (1, half), (2, half), (50, half), (101, 0)]}
+    assert [(q, r, v) for q, r, v, _ in got] == [(q, r, v) for q in want for r, (v, _) in enumerate(want[q], 1)]
+    assert np.allclose([s for *_, s in got], [s for q in want for _, s in want[q]], atol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "skewed", "even"])
+def test_neighbours_recall_beyond_calibration(spark, kind):
+    """600 queries, of which 96 are calibrated on; recall counts over the others too."""
+    rng = np.random.default_rng(17)
+    n, dim = 12_000, 24
+    if kind == "clusters":
+        x = rng.normal(size=(200, dim))[rng.integers(0, 200, n)] + 0.5 * rng.normal(size=(n, dim))
+    elif kind == "skewed":
+        x = rng.normal(size=(40, dim))[np.minimum(rng.geometric(0.3, n), 40) - 1] + 0.4 * rng.normal(size=(n, dim))
+    else:
+        x = rng.normal(size=(n, 12)) @ rng.normal(size=(12, dim))
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = np.arange(0, n, 20)
+    got = defaultdict(set)
+    for r in ann.search(vectors, vectors.where("vec_id % 20 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -2
+    best = np.argpartition(-near, 5, axis=1)[:, :5]
+    assert len(asked) == 600 and sum(len(got[q] & set(b.tolist())) for q, b in zip(asked.tolist(), best, strict=True)) >= 0.9 * 5 * 600
+
+
 def test_neighbours_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0]), (51, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(few, few.where("vec_id % 50 = 0")).collect())

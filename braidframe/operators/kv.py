@@ -125,6 +125,16 @@ class View:
     def delete(self, keys: DataFrame) -> "View":
         return self._with(self.df.join(keys.select("key"), "key", "left_anti"))
 
+    def exchange(self, pairs: DataFrame) -> tuple["View", DataFrame]:
+        """``store``, and the pairs that were there before."""
+        return self.store(pairs), self.df.join(pairs.select("key"), "key", "left_semi")
+
+    def remove(self, pairs: DataFrame) -> "View":
+        """Pairs go whose key has just that value."""
+        gone = pairs.select("key", F.col("value").alias("__gone"))
+        test = (F.col("a.key") == F.col("b.key")) & F.col("a.value").eqNullSafe(F.col("b.__gone"))
+        return self._with(self.df.alias("a").join(gone.alias("b"), test, "left_anti"))
+
     def load(self, key: object) -> object:
         row = next(iter(self.df.where(F.col("key") == F.lit(key)).select("value").take(1)), None)
         return None if row is None else row[0]
@@ -144,3 +154,17 @@ class View:
 
     def value_length(self) -> DataFrame:
         return self.df.select("key", F.octet_length("value").alias("length"))
+
+    def _zeros(self, length: int) -> Column:
+        zeros = F.repeat(F.lit("\0"), F.lit(length))
+        return F.encode(zeros, "UTF-8") if isinstance(self.df.schema["value"].dataType, T.BinaryType) else zeros
+
+    def clear_value(self, at: int, length: int) -> "View":
+        """Zero bytes from ``at`` on, but no further than the value goes."""
+        here = F.least(F.lit(length), F.greatest(F.octet_length("value") - at, F.lit(0)))
+        cleared = F.overlay(F.col("value"), F.substring(self._zeros(length), F.lit(1), here), F.lit(at + 1), here)
+        return self._with(self.df.withColumn("value", F.when(here > 0, cleared).otherwise(F.col("value"))))
+
+    def set_value_length(self, length: int) -> "View":
+        """Values of just this many bytes: cut off, or filled up with zero bytes."""
+        return self._with(self.df.withColumn("value", F.substring(F.concat(F.col("value"), self._zeros(length)), 1, length)))

@@ -156,12 +156,25 @@ class Table:
         return Table(Table(self.df, (), self.non_null).sorted(flipped).df.offset(-n), self.key, self.non_null)
 
     def seek(self, how: str, **key: object) -> DataFrame:
-        """One row next to a key: ``first last ge gt le lt``."""
-        (name, value), = key.items() if key else ((self.key[0], None),)
-        c = F.col(f"`{name}`")
-        test = {"ge": c >= value, "gt": c > value, "le": c <= value, "lt": c < value}.get(how) if value is not None else None
-        rows = self.df if test is None else self.df.where(test)
-        return rows.orderBy(c.desc() if how in ("last", "le", "lt") else c.asc()).limit(1)
+        """One row next to a key of one or more columns: ``first last eq ge gt le lt``."""
+        names = list(key) or list(self.key)
+        columns = [F.col(f"`{n}`") for n in names]
+        rows = self.df
+        if key:
+            values = [F.lit(v).cast(self._fields[n].dataType) for n, v in key.items()]
+            here, there = F.struct(*columns), F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True)))
+            test = {"eq": here == there, "ge": here >= there, "gt": here > there, "le": here <= there, "lt": here < there}.get(how)
+            if test is not None:
+                # the leading column's bound reaches the scan
+                rows = rows.where(columns[0] >= values[0] if how in ("ge", "gt") else columns[0] <= values[0] if how in ("le", "lt") else columns[0] == values[0]).where(test)
+        down = how in ("last", "le", "lt")
+        order = [*columns, *(F.col(f"`{k}`") for k in self.key if k not in names)]
+        return rows.orderBy(*(c.desc() if down else c.asc() for c in order)).limit(1)
+
+    def random_row(self, query: str = "", *args: object, seed: int | None = None) -> DataFrame:
+        """One row drawn evenly from those that a filter, such as a range of keys, takes."""
+        rows = self.df.where(self.predicate(query, *args)) if query else self.df
+        return rows.orderBy(F.rand(seed)).limit(1)
 
     # single rows and tests
 

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from .. import types as Y
 from ..operators import State, Table, View, concat, join, join_identity
 from ..operators import kv
-from ..operators.store import automatic_key, sorter
+from ..operators.rows import RowBox
+from ..operators.store import MappedState, automatic_key, delete_scanned, sorter, update_scanned
+from ..sources import Database
 
 KEYS = {
     "region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",),
@@ -34,6 +36,25 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> Table:
     return Table(spark.read.parquet(f"{sf_dir}/{name}.parquet"), KEYS.get(name, ()), NON_NULL.get(name, ()))
 
 
+class Loader:
+    """Gives tables by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> Table:
+        return load(self.spark, self.sf_dir, name)
+
+    def database(self) -> Database:
+        db = Database(self.spark, self.sf_dir)
+        for name, key in KEYS.items():
+            db.declare(name, key, NON_NULL.get(name, ()))
+        return db
+
+    def values(self, schema: str, *rows: tuple) -> DataFrame:
+        return self.spark.createDataFrame(list(rows), schema)
+
+
 def _plain(df: DataFrame) -> DataFrame:
     """Whole decimals as longs, the other ones as doubles, for comparison with SQL."""
     return df.select(*(F.col(f"`{f.name}`").cast("long" if f.dataType.scale == 0 else "double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f"`{f.name}`") for f in df.schema.fields))
@@ -44,7 +65,7 @@ def query(sql: str | None) -> Callable[[Callable], Callable]:
 
     def register(fn: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = fn(lambda name: load(spark, sf_dir, name))
+            out = fn(Loader(spark, sf_dir))
             return _plain(out.df if isinstance(out, Table) else out)
 
         QUERIES[fn.__name__] = run
@@ -270,11 +291,13 @@ def sorter_last_wins(t):
 
 
 def _company(t):
-    return {"n": Table(t("nation").df.where("n_nationkey < 15").select("n_nationkey", "n_name", F.expr("CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey END").alias("n_regionkey")), ("n_nationkey",)), "r": Table(t("region").df.where("r_regionkey > 0"), ("r_regionkey",))}
+    n = t("customer").df.select(F.col("c_custkey").alias("n_nationkey"), F.col("c_name").alias("n_name"), F.expr("CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey END").alias("n_regionkey"))
+    r = t("supplier").df.select((F.col("s_suppkey") - 7).alias("r_regionkey"), F.col("s_name").alias("r_name"))
+    return {"n": Table(n, ("n_nationkey",)), "r": Table(r, ("r_regionkey",))}
 
 
-_N = "(SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey < 15)"
-_R = "(SELECT * FROM region WHERE r_regionkey > 0)"
+_N = "(SELECT c_custkey AS n_nationkey, c_name AS n_name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey END AS n_regionkey FROM customer)"
+_R = "(SELECT s_suppkey - 7 AS r_regionkey, s_name AS r_name FROM supplier)"
 _PAIR = "{n = n.n_nationkey, r = r.r_name}"
 for _n, _op, _sql in (
     ("inner", ":", "{N} n JOIN {R} r ON n.n_regionkey = r.r_regionkey"), ("straight", "::", "{N} n JOIN {R} r ON n.n_regionkey = r.r_regionkey"),
@@ -301,9 +324,9 @@ def join_self(t):
     return join("a : b", t("nation"), t("nation")).derive("{x = a.n_nationkey, y = b.n_nationkey} a.n_regionkey == b.n_regionkey && a.n_nationkey < b.n_nationkey").df.toDF("a", "b")
 
 
-@query("SELECT s.s_suppkey AS s, n.n_nationkey AS n FROM supplier s JOIN nation n ON s.s_nationkey < n.n_nationkey AND n.n_regionkey = 1 AND s.s_suppkey <= 20")
+@query("SELECT s.s_suppkey AS s, n.n_nationkey AS n FROM supplier s JOIN nation n ON s.s_nationkey < n.n_nationkey AND n.n_regionkey = 1")
 def join_theta(t):
-    return join("s : n", t("supplier"), t("nation")).derive("{s = s.s_suppkey, n = n.n_nationkey} s.s_nationkey < n.n_nationkey && n.n_regionkey == 1 && s.s_suppkey <= 20")
+    return join("s : n", t("supplier"), t("nation")).derive("{s = s.s_suppkey, n = n.n_nationkey} s.s_nationkey < n.n_nationkey && n.n_regionkey == 1")
 
 
 @query("SELECT n.n_nationkey AS n, r.r_regionkey AS r FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey OR n.n_nationkey = r.r_regionkey")
@@ -311,14 +334,14 @@ def join_or(t):
     return join("n : r", t("nation"), t("region")).derive("{n = n.n_nationkey, r = r.r_regionkey} n.n_regionkey == r.r_regionkey || n.n_nationkey == r.r_regionkey")
 
 
-@query(f"SELECT n.n_nationkey AS n, r.r_name AS r FROM {_N} n LEFT JOIN {_R} r ON n.n_regionkey = r.r_regionkey AND r.r_name = 'ASIA' WHERE n.n_nationkey > 2")
+@query(f"SELECT n.n_nationkey AS n, r.r_name AS r FROM {_N} n LEFT JOIN {_R} r ON n.n_regionkey = r.r_regionkey AND r.r_name > 'Supplier#000000020' WHERE n.n_name > 'Customer#000000002'")
 def join_on_placement(t):
-    return join("n >: r", **_company(t)).derive(_PAIR + " n.n_regionkey == r.r_regionkey && r.r_name == 'ASIA' && n.n_nationkey > 2")
+    return join("n >: r", **_company(t)).derive(_PAIR + " n.n_regionkey == r.r_regionkey && r.r_name > 'Supplier#000000020' && n.n_name > 'Customer#000000002'")
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey END AS k FROM nation WHERE n_nationkey < 15) a JOIN (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey END AS k FROM nation WHERE n_nationkey < 15) b ON a.k IS NOT DISTINCT FROM b.k")
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey END AS k FROM nation) a JOIN (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey END AS k FROM nation) b ON a.k IS NOT DISTINCT FROM b.k")
 def join_null_keys(t):
-    rows = _company(t)["n"]
+    rows = Table(t("nation").df.select("n_nationkey", F.expr("CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey END").alias("n_regionkey")), ("n_nationkey",))
     return join("a : b", rows, rows).derive("{x = a.n_nationkey, y = b.n_nationkey} a.n_regionkey == b.n_regionkey").df.toDF("a", "b")
 
 
@@ -403,12 +426,12 @@ def concat_ordered(t):
 
 
 def _views(t):
-    a = View(t("customer").df.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("value")))
-    return a, View(t("supplier").df.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("value")))
+    a = View(t("customer").df.select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("value")))
+    return a, View(t("supplier").df.select((F.col("s_suppkey") - 11).alias("key"), F.col("s_nationkey").alias("value")))
 
 
-_A = "(SELECT c_custkey AS key, c_nationkey AS value FROM customer WHERE c_custkey % 3 <> 0)"
-_B = "(SELECT s_suppkey AS key, s_nationkey AS value FROM supplier WHERE s_suppkey % 2 = 0)"
+_A = "(SELECT c_custkey AS key, c_nationkey AS value FROM customer)"
+_B = "(SELECT s_suppkey - 11 AS key, s_nationkey AS value FROM supplier)"
 
 
 @query(f"SELECT key, CASE WHEN a.value IS NOT NULL AND b.value IS NOT NULL THEN a.value + b.value ELSE coalesce(a.value, b.value) END AS value FROM {_A} a FULL JOIN {_B} b USING (key)")
@@ -542,6 +565,85 @@ def dml_automatic_key(t):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when((F.col("id") >= 1) & (F.col("id") <= 1 << 40), 1).otherwise(0)).cast("long").alias("valid"))
 
 
+@query("SELECT count(*) AS n, -count(*) AS low, 2 * count(*) - 2 AS high, count(*) AS apart FROM part")
+def dml_automatic_key_dense(t):
+    """Keys from so few that all but those of the table are drawn: none twice, none of the table's, no zero."""
+    part, n = t("part").df.select("p_partkey"), t("part").df.count()
+    rows = automatic_key(part.unionByName(part.selectExpr("-p_partkey as p_partkey").where("p_partkey <> 0")).withColumnRenamed("p_partkey", "other"), "p_partkey", -n, 2 * n - 2, 5, table=part)
+    found = rows.agg(F.count_distinct("p_partkey").alias("all"), F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high"), F.sum(F.when(F.col("p_partkey") == 0, 1).otherwise(0)).alias("zero"))
+    both = rows.join(part, "p_partkey", "left_semi").count()
+    return found.select(F.expr(f"`all` - {n - 1} - zero").alias("n"), "low", "high", F.lit(n - both).alias("apart"))
+
+
+_NAMED = "SELECT min(c_custkey) + 1000000 AS c_custkey, 'n' || (c_custkey % 50) AS c_name FROM customer GROUP BY c_custkey % 50"
+
+
+def _customers(t, **more):
+    return State(Table(t("customer").df.select("c_custkey", "c_name"), ("c_custkey",), ("c_name",)), [("c_name",)], **more)
+
+
+@query(f"SELECT c_custkey, c_name FROM customer UNION ALL {_NAMED}")
+def dml_alternate_key(t):
+    """Of rows with one name the first goes in; names that the table has do not."""
+    rows = t("customer").df
+    new = rows.select((F.col("c_custkey") + 1_000_000).alias("c_custkey"), F.concat(F.lit("n"), F.col("c_custkey") % 50).alias("c_name"))
+    old = rows.select((F.col("c_custkey") + 2_000_000).alias("c_custkey"), "c_name")
+    return _customers(t).try_insert(new.unionByName(old)).df
+
+
+@query("SELECT a.c_custkey, b.c_name FROM customer a JOIN customer b ON b.c_custkey = CASE WHEN a.c_custkey % 2 = 0 AND a.c_custkey < (SELECT max(c_custkey) FROM customer) THEN a.c_custkey + 1 WHEN a.c_custkey % 2 = 1 THEN a.c_custkey - 1 ELSE a.c_custkey END")
+def dml_swap_alternate_keys(t):
+    """Neighbours swap their names."""
+    last = t("customer").df.agg(F.max("c_custkey").alias("last"))
+    other = F.when((F.col("c_custkey") % 2 == 0) & (F.col("c_custkey") < F.col("last")), F.col("c_custkey") + 1).when(F.col("c_custkey") % 2 == 1, F.col("c_custkey") - 1).otherwise(F.col("c_custkey"))
+    return _customers(t).update(t("customer").df.crossJoin(F.broadcast(last)).select(other.alias("c_custkey"), "c_name")).df
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 20 AND p_size < 40 THEN p_size + 10 ELSE p_size END AS p_size, p_name FROM part WHERE NOT p_size >= 45")
+def dml_view(t):
+    """Through a view: rows outside are neither updated nor deleted."""
+    view = State(_parts(t).table, view="p_size > ?", view_args=(20,))
+    wider = view.try_update(t("part").df.where("p_size < 40").select("p_partkey", (F.col("p_size") + 10).alias("p_size")))
+    gone = t("part").df.where("p_size >= 45").select("p_partkey").unionByName(t("part").df.where("p_size <= 10").select("p_partkey"))
+    return wider.delete(gone).df
+
+
+@query(f"WITH n AS ({_NEW}) SELECT p.p_partkey, n.p_size, p.p_name FROM part p JOIN n USING (p_partkey)")
+def dml_try_merge(t):
+    return _parts(t).try_merge(_new(t).drop("p_name"))[1]
+
+
+@query("SELECT CASE WHEN p_size = 7 THEN -p_partkey - 1 ELSE p_partkey END AS id, CASE WHEN p_size = 9 THEN '-1' ELSE p_size::VARCHAR END AS size FROM part WHERE p_size <> 8")
+def dml_mapped(t):
+    """Changes through a mapped table go back to its source."""
+    parts = State(Table(t("part").df.select("p_partkey", "p_size"), ("p_partkey",), ("p_size",)))
+    mapped = MappedState(
+        parts, lambda df: df.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("size")), {"p_partkey": "id", "p_size": lambda df: F.col("size").cast("int")},
+        store="p_partkey < 0", update="p_size >= -1", delete="",
+    )
+    rows = mapped.df
+    moved = mapped.store(rows.where("size = '7'").withColumn("id", -F.col("id") - 1)).delete(rows.where("size in ('7', '8')").select("id"))
+    return moved.update(rows.where("size = '9'").select("id", F.lit("-1").alias("size"))).df
+
+
+@query("SELECT n_nationkey, CASE WHEN r_name = 'ASIA' THEN upper(n_name) || '!' ELSE n_name END AS n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'EUROPE'")
+def dml_update_joined(t):
+    """An updater over a join changes and deletes rows of one of its tables."""
+    rows = join("n : r", t("nation"), t("region")).derive("{n, r} n.n_regionkey == r.r_regionkey").df
+    state = State(Table(t("nation").df.select("n_nationkey", "n_name"), ("n_nationkey",), ("n_name",)))
+    asia = rows.where("r.r_name = 'ASIA'").withColumn("n", F.col("n").withField("n_name", F.concat(F.upper("n.n_name"), F.lit("!"))))
+    return delete_scanned(rows.where("r.r_name = 'EUROPE'"), **update_scanned(asia, n=state))["n"].df
+
+
+@query("SELECT 'n' AS side, n_nationkey AS k, n_name || '*' AS v FROM nation UNION ALL SELECT 'r', r_regionkey, r_name || '*' FROM region")
+def dml_update_concat(t):
+    """An updater over a concatenation changes the tables that hold a key."""
+    sides = {"n": Table(t("nation").df.selectExpr("'n' as side", "n_nationkey as k", "n_name as v"), ("side", "k")), "r": Table(t("region").df.selectExpr("'r' as side", "r_regionkey as k", "r_name as v"), ("side", "k"))}
+    scan = concat(*sides.values()).df.withColumn("v", F.concat("v", F.lit("*")))
+    done = update_scanned(scan, **{n: State(s) for n, s in sides.items()})
+    return done["n"].df.unionByName(done["r"].df)
+
+
 # Python hooks
 
 
@@ -581,3 +683,124 @@ def group_udf(t):
             yield {"user_id": r.user_id, "event_id": r.event_id, "rolling": sum(last)}
 
     return t("events").group(("user_id",), "+ts", rolling, schema, ("event_id",))
+
+
+# the catalogue, cursors and single rows
+
+
+@query("SELECT l_orderkey, l_linenumber, how FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS up, row_number() OVER (ORDER BY l_orderkey DESC, l_linenumber DESC) AS down, 'first' AS how FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey, l_linenumber) > (300, 3))) WHERE up = 1 UNION ALL SELECT l_orderkey, l_linenumber, how FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey DESC, l_linenumber DESC) AS down, 'lt' AS how FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey, l_linenumber) < (300, 3))) WHERE down = 1")
+def cursor_seek_composite(t):
+    lines = Table(t("lineitem").df.select("l_orderkey", "l_linenumber").distinct(), ("l_orderkey", "l_linenumber"))
+    key = {"l_orderkey": 300, "l_linenumber": 3}
+    return lines.seek("gt", **key).withColumn("how", F.lit("first")).unionByName(lines.seek("lt", **key).withColumn("how", F.lit("lt")))
+
+
+@query("SELECT count(*) AS n, true AS inside FROM region WHERE r_regionkey = 1")
+def cursor_random(t):
+    return t("orders").random_row("o_orderkey >= ? && o_orderkey < ?", 100, 900).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.expr("o_orderkey >= 100 and o_orderkey < 900")).alias("inside"))
+
+
+@query("SELECT count(*) AS n, 0 AS low, 9 AS high, 10 AS kinds, true AS even, true AS unit FROM lineitem")
+def expr_random_spread(t):
+    """Draws cover all of their range, each value about as often as the others."""
+    rows = t("lineitem").derive("{a = random(10), b = random(), c = random(-3, 3)}").df
+    shares = rows.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.expr("b >= 0 and b < 1 and c >= -3 and c < 3"), 0).otherwise(1)).alias("out"))
+    return shares.agg(F.sum("k").alias("n"), F.min("a").cast("int").alias("low"), F.max("a").cast("int").alias("high"), F.count(F.lit(1)).cast("int").alias("kinds"), (F.max("k") < 2 * F.min("k")).alias("even"), (F.sum("out") == 0).alias("unit"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, row_number() OVER (ORDER BY o_orderpriority DESC) AS rn FROM orders GROUP BY 1")
+def agg_groups_in_order(t):
+    return _numbered(t("orders").derive("{-o_orderpriority; n = count()}").df)
+
+
+@query("SELECT r_regionkey, r_name, row_number() OVER (ORDER BY r_regionkey) AS rn FROM region")
+def forward_scan(t):
+    return _numbered(t.database().open_table("region").scan().select("r_regionkey", "r_name"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 333")
+def load_and_try_load(t):
+    orders = t.database().open_table("orders")
+    row = orders.load(o_orderkey=333)
+    assert orders.try_load(o_orderkey=-1) is None
+    return t.values("o_orderkey long, o_orderstatus string, o_totalprice double", (row.o_orderkey, row.o_orderstatus, row.o_totalprice))
+
+
+@query("SELECT n_name AS key, n_nationkey AS value FROM nation WHERE n_name >= 'F' AND n_name < 'R'")
+def database_view(t):
+    return t.database().as_view(t("nation").df.select(F.col("n_name").alias("key"), F.col("n_nationkey").alias("value"))).ge("F").lt("R").df
+
+
+@query("SELECT n_nationkey + 1 AS k FROM nation")
+def temporary_table(t):
+    t.database().temporary("registry_temporary", t("nation").derive("{k = n_nationkey + 1}"))
+    return Database(t.spark).open_table("registry_temporary")
+
+
+@query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS name")
+def registry_names(t):
+    return t.values("name string", *((n,) for n in t.database().names()))
+
+
+@query("SELECT 'p_partkey' AS name, count(*)::VARCHAR AS n, min(p_partkey)::VARCHAR AS low, max(p_partkey)::VARCHAR AS high FROM part")
+def analyze(t):
+    found = {r["summary"]: r["p_partkey"] for r in t.database().analyze("part").collect()}
+    return t.values("name string, n string, low string, high string", ("p_partkey", found["count"], found["min"], found["max"]))
+
+
+@query("SELECT n_nationkey AS key, n_name AS value, row_number() OVER (ORDER BY n_nationkey DESC) AS rn FROM nation")
+def kv_reverse(t):
+    return _numbered(View(t("nation").df.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))).reverse().scan())
+
+
+@query(f"SELECT a.key, a.value AS old, b.value AS new FROM {_A} a JOIN {_B} b USING (key)")
+def kv_exchange(t):
+    a, b = _views(t)
+    after, before = a.exchange(b.df)
+    return before.withColumnRenamed("value", "old").join(after.df.withColumnRenamed("value", "new"), "key")
+
+
+@query(f"SELECT key, value FROM {_A} a WHERE NOT EXISTS (SELECT 1 FROM {_B} b WHERE b.key = a.key AND b.value = a.value)")
+def kv_remove(t):
+    a, b = _views(t)
+    return a.remove(b.df).df
+
+
+@query("SELECT n_nationkey AS key, rpad(hex(left(n_name, 1)) || '0000' || hex(substring(n_name, 4, 9)), 24, '0') AS value FROM nation")
+def kv_value_resize(t):
+    v = View(t("nation").df.select(F.col("n_nationkey").alias("key"), F.encode(F.substring("n_name", 1, 12), "UTF-8").alias("value")))
+    return v.clear_value(1, 2).set_value_length(12).df.withColumn("value", F.hex("value"))
+
+
+@query("SELECT count(*) = 0 AS none, count(*) > 0 AS some FROM region")
+def is_empty(t):
+    return t.values("none boolean, some boolean", (t("region").is_empty(), not t("region").derive("{*} r_regionkey >= 0").is_empty()))
+
+
+simple("back_quoted", "nation", "{`n_nationkey`, `odd name` = `n_regionkey` + 1} `n_name` > 'F'", "SELECT n_nationkey, n_regionkey + 1 AS \"odd name\" FROM nation WHERE n_name > 'F'")
+
+
+@query("SELECT 1 AS n_nationkey, 'box' AS n_name, 3 AS n_regionkey")
+def row_boxes(t):
+    box = RowBox(t("nation").row_type)
+    box["n_nationkey"], box["n_name"], box["n_regionkey"] = 1, "box", 3
+    kinds = {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}
+    return t.values("n_nationkey int, n_name string, n_regionkey int", tuple(box.get(n, k) for n, k in kinds.items()))
+
+
+@query("SELECT count(*) AS n, 0 AS columns FROM nation")
+def proj_empty(t):
+    out = t("nation").derive("{}")
+    return t.values("n long, columns int", (out.df.count(), len(out.columns)))
+
+
+@query("SELECT 'n' AS part, count(*) AS n FROM nation WHERE n_regionkey = 2")
+def query_parts(t):
+    """A query's row type and number of arguments are known before it runs."""
+    from ..lang import parse_query
+
+    text = "{n_nationkey} n_regionkey == ?"
+    assert parse_query(text).arguments == 1
+    out = t("nation").derive(text, 2)
+    assert [f.name for f in out.row_type.fields] == ["n_nationkey"]
+    return t.values("part string, n long", ("n", out.df.count()))

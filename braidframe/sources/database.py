@@ -85,6 +85,15 @@ class Database:
         for name in self.names():
             self.find_table(name).df.write.parquet(f"{target.rstrip('/')}/{name}.parquet")
 
+    def restore(self, source: str) -> None:
+        """Write the tables of a backup to this folder; an existing one is an error."""
+        backup = Database(self.spark, source)
+        present = [n for n in backup.names() if self.root is not None and self._exists(self._path(n))]
+        if present:
+            raise KeyError(f"the table exists: {present[0]}")
+        for name in backup.names():
+            backup.find_table(name).df.write.parquet(self._path(name))
+
     def analyze(self, name: str) -> DataFrame:
         return self.open_table(name).df.summary("count", "min", "max")
 

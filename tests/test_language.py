@@ -14,7 +14,7 @@ from braidframe.lang import parse_expression, parse_query
 from braidframe.lang.nodes import Binary, Literal, conjuncts, negated
 from braidframe.operators import State, Table, View, concat, join, join_identity, kv
 from braidframe.operators.join import parse_spec
-from braidframe.operators.store import automatic_key, sorter
+from braidframe.operators.store import MappedState, automatic_key, sorter
 from braidframe.sources import Database
 
 
@@ -408,6 +408,98 @@ def test_changes(spark):
     assert rows(sorter([make([(2, "x", 1), (1, "y", 1)]), make([(2, "z", 2)])], ["id"])) == [(1, "y", 1), (2, "z", 2)]
 
 
+def test_keys_of_the_resulting_state(spark):
+    make = lambda data: spark.createDataFrame(data, "a int, b int")
+    s = State(Table(make([(1, 5), (2, 6)]), ("a",), ("b",)), [("b",)])
+    assert sorted(rows(s.try_insert(make([(2, 9), (3, 5), (4, 7), (5, 7), (4, 8)])).df)) == [(1, 5), (2, 6), (4, 7)]
+    for clash in ([(3, 9), (4, 9)], [(3, 7), (3, 8)], [(3, 5)], [(1, 9)]):
+        with pytest.raises(KeyConflict):
+            s.insert(make(clash))
+    assert sorted(rows(s.store(make([(1, 6), (2, 5)])).df)) == [(1, 6), (2, 5)]
+    assert sorted(rows(s.update(make([(1, 6), (2, 5)])).df)) == [(1, 6), (2, 5)]
+    with pytest.raises(KeyConflict):
+        s.store(make([(7, 6)]))
+    with pytest.raises(KeyConflict):
+        s.try_update(make([(1, 6)]))
+    with pytest.raises(KeyConflict):
+        s.update_all("a == 1", b=F.lit(6))
+    # a row that is left out does not keep others out
+    two = State(Table(spark.createDataFrame([], "k int, a int, b int"), ("k",)), [("a",), ("b",)])
+    chain = spark.createDataFrame([(1, 1, 9), (2, 2, 9), (3, 2, 3), (4, None, 4), (5, None, 5)], "k int, a int, b int")
+    assert sorted(rows(two.try_insert(chain).df)) == [(1, 1, 9), (3, 2, 3), (4, None, 4)]
+
+
+def test_changes_through_a_view(spark):
+    make = lambda data: spark.createDataFrame(data, "a int, b int")
+    s = State(Table(make([(1, 5), (2, 500)]), ("a",)), view="b < ?", view_args=(100,))
+    for verb in (s.store, s.insert, s.try_insert, s.update, s.try_update, s.merge, s.replace):
+        with pytest.raises(QueryError):
+            verb(make([(1 if verb not in (s.insert, s.try_insert) else 3, 500)]))
+    with pytest.raises(QueryError):
+        s.update_all("", b=F.lit(100))
+    with pytest.raises(QueryError):
+        s.store(make([(2, 7)]))
+    with pytest.raises(KeyError):
+        s.update(make([(2, 7)]))
+    assert sorted(rows(s.try_update(make([(1, 6), (2, 7)])).df)) == [(1, 6), (2, 500)]
+    assert rows(s.try_merge(make([(1, 6), (2, 7), (9, 1)]))[1]) == [(1, 6)]
+    assert sorted(rows(s.delete(make([(1, 0), (2, 0)])).df)) == [(2, 500)]
+    left, gone = s.delete_all()
+    assert rows(left.df) == [(2, 500)] and gone == 1
+
+
+def test_changes_through_a_mapped_table(spark):
+    source = State(Table(spark.createDataFrame([(1, "123", 5), (2, "7", 6)], "id long, str string, num int"), ("id",)))
+    forward = lambda df: df.select("id", F.col("num").cast("string").alias("str"), F.col("str").cast("int").alias("num"))
+    inverse = {"id": "id", "str": lambda df: F.col("num").cast("string"), "num": lambda df: F.expr("try_cast(str as int)")}
+    make = lambda data: spark.createDataFrame(data, "id long, str string, num int")
+    shut = MappedState(source, forward, inverse)
+    for verb in (shut.store, shut.insert, shut.update, shut.delete):
+        with pytest.raises(QueryError):
+            verb(make([(1, "1", 1)]))
+    swapped = MappedState(source, forward, inverse, store=lambda df: F.col("num").isNotNull(), update="num != null", delete="")
+    assert sorted(rows(swapped.store(make([(3, "8", 9)])).df)) == [(1, "5", 123), (2, "6", 7), (3, "8", 9)]
+    for verb in (swapped.store, swapped.update):
+        with pytest.raises(QueryError):
+            verb(make([(1, "hello", 9)]))
+    changed = swapped.update(spark.createDataFrame([(1, "99")], "id long, str string"))
+    assert sorted(rows(changed.source.df)) == [(1, "123", 99), (2, "7", 6)]
+    assert rows(swapped.delete(make([(1, "", 0)])).source.df) == [(2, "7", 6)]
+    with pytest.raises(KeyConflict):
+        swapped.insert(make([(1, "8", 9)]))
+
+
+def test_automatic_keys(spark):
+    df = spark.range(500).withColumnRenamed("id", "v").repartition(7)
+    for low, high in ((1, 500), (-250, 250), (1, (1 << 63) - 1), (-(1 << 63), (1 << 63) - 1)):
+        got = [r[1] for r in rows(automatic_key(df, "k", low, high, seed=3))]
+        assert len(set(got)) == 500 and 0 not in got and all(low <= k <= high for k in got)
+    taken = spark.range(1, 400).withColumnRenamed("id", "k")
+    got = [r[1] for r in rows(automatic_key(df, "k", 1, 899, seed=3, table=taken))]
+    assert sorted(got) == list(range(400, 900))
+    with pytest.raises(KeyConflict):
+        automatic_key(df, "k", 1, 898, table=taken)
+
+
+def test_seek_on_several_columns(spark):
+    t = Table(spark.createDataFrame([(a, b) for a in range(3) for b in (1, 3, 5)], "a int, b int"), ("a", "b"))
+    seek = lambda how, **k: rows(t.seek(how, **k))
+    assert seek("ge", a=1, b=2) == [(1, 3)] and seek("gt", a=1, b=5) == [(2, 1)] and seek("le", a=1, b=0) == [(0, 5)] and seek("lt", a=0, b=1) == []
+    assert seek("first") == [(0, 1)] and seek("last") == [(2, 5)] and seek("eq", a=2, b=3) == [(2, 3)] and seek("ge", a=1) == [(1, 1)]
+    assert rows(t.random_row("a == 1 && b > 3")) == [(1, 5)]
+
+
+def test_restore(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "one"))
+    db.save("t", Table(spark.range(5).toDF("k")))
+    db.backup(str(tmp_path / "copy"))
+    other = Database(spark, str(tmp_path / "two"))
+    other.restore(str(tmp_path / "copy"))
+    assert sorted(rows(other.open_table("t").df)) == [(k,) for k in range(5)]
+    with pytest.raises(KeyError):
+        other.restore(str(tmp_path / "copy"))
+
+
 def test_database(spark, tmp_path):
     db = Database(spark, f"file://{tmp_path}").declare("t", ("id",))
     t = Table(spark.createDataFrame([(1, "a")], "id int, s string"), ("id",))

@@ -247,6 +247,33 @@ def test_window_first_last(wide):
                 assert got[r[0]][4] == first(i + r[4])[0]
 
 
+def test_long_variable_frames(spark):
+    """Frames of up to thousands of rows are made of blocks of several levels."""
+    rng = random.Random(21)
+    data = [(i, i % 2 if i % 7 else None, rng.randrange(-50, 50) if i % 11 else None, rng.randrange(-700, 300), rng.randrange(-300, 900)) for i in range(3000)]
+    t = Table(spark.createDataFrame(data, "id int, g int, v int, lo int, hi int"), ("id",), ("id", "lo", "hi"))
+    frames_ = {"rows": "rows:lo..hi", "open": "rows:..hi", "groups": "groups:lo..hi", "range": "range:lo..hi"}
+    for mode, frame in frames_.items():
+        by_row = mode in ("rows", "open")
+        x = "v" if by_row else "k"
+        calls = ", ".join(f"{n} = {fn}({x}, {frame})" for n, fn in zip("csalhpq", ("count", "sum", "avg", "min", "max", "first", "last"), strict=True))
+        got = {r["id"]: r for r in t.derive("{*, k = id / 3}").derive(f"{{g; {'+id' if by_row else '+k, id'}, {calls}}}").df.collect()}
+        assert len(got) == 3000
+        for part in (0, 1, None):
+            mine = [r for r in data if r[1] == part]
+            groups = {k: n for n, k in enumerate(sorted({r[0] // 3 for r in mine}))}
+            places = [n if by_row else groups[r[0] // 3] if mode == "groups" else r[0] // 3 for n, r in enumerate(mine)]
+            for n in range(0, len(mine), 17):
+                r, row = mine[n], got[mine[n][0]]
+                low = 0 if mode == "open" else places[n] + r[3]
+                held = [y[2] if by_row else y[0] // 3 for y, at in zip(mine, places, strict=True) if low <= at <= places[n] + r[4]]
+                values = [y for y in held if y is not None]
+                assert (row["c"], row["s"], row["l"], row["h"]) == (len(values), sum(values), min(values, default=None), max(values, default=None)), (mode, r)
+                assert row["a"] is None if not values else abs(row["a"] - sum(values) / len(values)) < 1e-9
+                if held:
+                    assert (row["p"], row["q"]) == (held[0], held[-1])
+
+
 def test_window_rules(wide):
     table, data = wide
     assert len(rows(table.derive("{g; q = 1, id}"))) == len(data)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -657,6 +659,28 @@ def map_udf(t):
     return t("lineitem").map(code, schema, source=("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"))
 
 
+@query("SELECT l_orderkey, l_linenumber, upper(l_returnflag) || l_linestatus AS code FROM lineitem WHERE l_linenumber <= 2")
+def map_batches(t):
+    schema = T.StructType([T.StructField("l_orderkey", Y.LONG), T.StructField("l_linenumber", Y.INT), T.StructField("code", Y.STRING)])
+
+    def code(b):
+        b = b.filter(pc.less_equal(b["l_linenumber"], 2))
+        made = pc.binary_join_element_wise(pc.utf8_upper(b["l_returnflag"]), b["l_linestatus"], "")
+        return pa.RecordBatch.from_arrays([b["l_orderkey"], b["l_linenumber"], made], names=["l_orderkey", "l_linenumber", "code"])
+
+    return t("lineitem").map(code, schema, source=("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), batches=True)
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) - min(event_id) AS spread FROM events GROUP BY 1 HAVING count(*) > 2")
+def agg_udf_merged(t):
+    schema = T.StructType([T.StructField("user_id", Y.LONG), T.StructField("n", Y.LONG), T.StructField("spread", Y.LONG)])
+    return t("events").aggregate(
+        ("user_id",), lambda r: (1, r.event_id, r.event_id), lambda s, r: (s[0] + 1, min(s[1], r.event_id), max(s[2], r.event_id)),
+        lambda s, k: {"user_id": k[0], "n": s[0], "spread": s[2] - s[1]} if s[0] > 2 else None, schema, ("event_id",),
+        merge=lambda a, b: (a[0] + b[0], min(a[1], b[1]), max(a[2], b[2])),
+    )
+
+
 @query("SELECT p_partkey AS k, p_size + 1 AS s FROM part WHERE p_partkey < 40 AND p_size + 1 > 5")
 def map_inverse(t):
     schema = T.StructType([T.StructField("k", Y.LONG, False), T.StructField("s", Y.INT, False)])

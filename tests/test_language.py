@@ -435,6 +435,19 @@ def test_changes(spark):
     assert rows(sorter([make([(2, "x", 1), (1, "y", 1)]), make([(2, "z", 2)])], ["id"])) == [(1, "y", 1), (2, "z", 2)]
 
 
+def test_merged_aggregates(spark, monkeypatch):
+    from braidframe.operators import hooks
+
+    monkeypatch.setattr(hooks, "HELD_STATES", 3)
+    t = Table(spark.createDataFrame([(i, i % 5 if i % 6 else None, f"x{i % 2}") for i in range(100)], "id int, a int, b string"), ("id",))
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType()), T.StructField("s", T.LongType())])
+    for by in (("a", "b"), ()):
+        end = lambda s, k: {"a": k[0] if k else None, "b": k[1] if k else None, "s": s}
+        one = rows(t.aggregate(by, lambda r: r.id, lambda s, r: s + r.id, end, schema, ("id",)))
+        two = rows(t.aggregate(by, lambda r: r.id, lambda s, r: s + r.id, end, schema, ("id",), merge=lambda x, y: x + y))
+        assert sorted(one, key=str) == sorted(two, key=str) and sum(r[2] for r in two) == 4950
+
+
 def test_keys_of_the_resulting_state(spark):
     make = lambda data: spark.createDataFrame(data, "a int, b int")
     s = State(Table(make([(1, 5), (2, 6)]), ("a",), ("b",)), [("b",)])

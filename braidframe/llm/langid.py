@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 ORDER = 4
-#: Bound of the labelled sample that the trees are made from: documents and bytes of each language, and the longest document in it.
+#: Bound of the labelled sample that the trees are made from: documents and bytes of each language, and characters of one document.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LONGEST = 300, 300_000, 65_536
 #: A context of two bytes or more is kept if it was seen this often.
 LEAST_SEEN = 4
@@ -157,24 +157,27 @@ def scorer_for(key: str, model: Model) -> Scorer:
 
 
 def training_rows(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows: whole documents, those of the smallest hashes of ``key``, for each language."""
+    """A bounded sample of labelled rows for each language: those of the smallest hashes of ``key``, ties by text.
+
+    Of a text of more than ``SAMPLE_LONGEST`` characters its first ones are
+    learned from, so a language of long texts only is learned too.  Rows without
+    a language or text, and empty texts, teach nothing; no such row at all gives
+    an empty sample.
+    """
     h = F.xxhash64(F.lit("sample"), F.col(key).cast("string"))
-    labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), h.alias("h")).where("lang is not null and text is not null")
+    labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), h.alias("h")).where("lang is not null and text is not null and text <> ''")
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return []
     shares = {r.lang: min(1.0, 2.0 * most / r.n) for r in sizes}
     limits = [(x, int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1) for x, share in shares.items()]
     few = docs.sparkSession.createDataFrame(limits, "lang string, most bigint")  # a row for each language
-    usable = labelled.where(F.octet_length("text").between(1, SAMPLE_LONGEST)).join(F.broadcast(few), "lang").where("h <= most")
-    ranked = usable.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= most)
-    out: list[tuple[str, str]] = []
-    total: Counter[str] = Counter()
-    for r in sorted(ranked.select("lang", "r", "text").collect(), key=lambda r: (r.lang, r.r)):
-        if total[r.lang] < most_bytes:
-            out.append((r.lang, r.text))
-            total[r.lang] += len(r.text.encode())
-    return out
+    usable = labelled.join(F.broadcast(few), "lang").where("h <= most").withColumn("text", F.substring("text", 1, SAMPLE_LONGEST))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    ranked = usable.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    held = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most_bytes)
+    return [(r.lang, r.text) for r in sorted(held.select("lang", "r", "text").collect(), key=lambda r: (r.lang, r.r))]
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
@@ -182,7 +185,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     The language of the shortest code wins, ties go to the first name.  A null
     text, one without a letter, or any text under a model of no language gets
-    ``und`` with score 0 and null bits.  Rows stay one to one; whole texts count.
+    ``und`` with score 0 and null bits.  Rows stay one to one, repeated ones too;
+    whole texts count.  An empty table gives no rows.
     """
     narrow = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]), "`{}` string, `{}` double, `{}` double".format(*names)])

@@ -320,6 +320,19 @@ def test_language_held_out(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
 
 
+def test_language_of_long_texts_repeats_and_ties(spark):
+    long = {"aa": "lorem ipsum dolor sit " * 5000, "bb": "quick brown foxes jump " * 5000}
+    rows = [(i, t, lang, None, 1) for i, (lang, t) in enumerate(long.items())] * 3 + [(9, None, "cc", None, 0), (10, "", "cc", None, 0), (11, "x", None, None, 0)]
+    table_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score int")
+    sample = langid.training_rows(table_)
+    assert {x for x, _ in sample} == {"aa", "bb"} and all(len(t) <= langid.SAMPLE_LONGEST for _, t in sample)
+    got = langid.identify(table_, langid.train(sample)).collect()
+    assert sorted((r.doc_id, r.lang_pred) for r in got) == sorted([(0, "aa"), (1, "bb")] * 3 + [(9, "und"), (10, "und"), (11, next(r.lang_pred for r in got if r.doc_id == 11))])
+    tied = langid.identify(spark.createDataFrame([(1, "one text")], "doc_id long, text string"), langid.train([("zz", "same text"), ("yy", "same text")])).first()
+    assert (tied.lang_pred, round(tied.score, 6)) == ("yy", 0.5)
+    assert langid.identify(table_.limit(0), langid.train(sample)).count() == 0 and langid.training_rows(table_.limit(0)) == []
+
+
 def test_language_odd(spark, corpus):
     model = langid.train([("a", corpus[0]), ("b", corpus[1])])
     got = {r.doc_id: r for r in langid.identify(docs(spark, ODD), model).collect()}

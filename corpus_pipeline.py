@@ -16,8 +16,14 @@ MOST_BITS = 8.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in none of the learned languages: null texts, texts without a letter, incompressible ones."""
-    model = langid.train(langid.training_rows(docs))
+    """Drop documents in none of the learned languages: null texts, texts without a letter, incompressible ones.
+
+    Without a single labelled text there is nothing to learn, and all documents stay.
+    """
+    sample = langid.training_rows(docs)
+    if not sample:
+        return docs
+    model = langid.train(sample)
     columns = tuple(docs.columns)
     marked = langid.identify(docs, model, keep=columns, names=("__lang", "__score", "__bits"))
     return marked.where((F.col("__lang") != "und") & (F.col("__bits") < MOST_BITS)).select(*columns)

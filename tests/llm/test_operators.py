@@ -820,6 +820,17 @@ def test_pipeline(spark, corpus):
     assert last == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in seen["secret_scan"].items()}
 
 
+def test_pipeline_without_labels_or_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = spark.createDataFrame([(1, "a plain english text", None, "s", 20), (2, "and another one", None, None, 15)], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame([(1, "an item that no document holds")], "item_id long, text string")
+    for name, n in (("two", 2), ("none", 0)):
+        rows.limit(n).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.limit(n).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() == n
+
+
 def test_queries_are_whole(spark):
     counts = {t: table(spark, SF, t).count() for t in ("documents", "pages")}
     for name, rows in (("op1_simhash", "documents"), ("op4_bpe", "documents"), ("op6_suffix", "documents"), ("op7_html", "pages"), ("op9_secrets", "documents"), ("op10_sharding", "documents")):

@@ -13,9 +13,14 @@ The basis spans benchmark passages and not the corpus: the leading directions of
 a corpus are its common words, and the rare words which tell an item apart would
 be lost.  It spans all passages of a block: it has as many vectors, and further
 ones for passages that a float's precision loses.  Items that a text holds word
-for word are also found without it, from each place of their rarest word.  Items
-are taken in blocks of bounded size, each of which is sent to all tasks; more
-items mean more passes over the documents, not larger tasks.
+for word are also found without it, from each place of their rarest word.
+
+Document frequencies of all items' words are counted in one pass.  Items are
+taken in blocks of bounded size, which are sent to all tasks; a task goes through
+the blocks one after another for each batch of texts and holds one at a time.
+Many blocks share a pass over the documents, so the work grows with the items,
+but the reading hardly does.  Long items are cut into pieces that are looked for
+on their own, and are held by a text that has most of them.
 """
 
 from __future__ import annotations
@@ -29,11 +34,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .common import map_arrow, session_of
-
-#: Items that are read together, and passages of one block (of more only if one item has more).
-BLOCK_ITEMS, BLOCK_PASSAGES = 1_024, 384
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import Scratch, map_arrow, session_of
+
+#: Items that are read together and bytes of their texts, on average, and passages of one block.
+BLOCK_ITEMS, BLOCK_BYTES, BLOCK_PASSAGES = 1_024, 4 << 20, 384
+#: Blocks that share a pass over the documents.
+PASS_BLOCKS = 64
+#: Items of more words are cut into pieces of at most so many.
+PIECE_WORDS = 1_024
+#: Words of items up to this many are sent to all tasks when documents are counted; of more, all words are counted.
+MOST_WORDS = 1_000_000
+#: Words whose counts a task holds before it hands them on.
+HELD_WORDS = 200_000
 #: Words of a passage, of a document window, and from one window to the next.
 PASSAGE, WINDOW, STRIDE = 48, 64, 32
 ITERATIONS = 2
@@ -59,6 +73,10 @@ class Item:
     item_id: object
     words: list[bytes]
     answer: list[bytes]
+    whole: tuple[int, int] = (0, 0)  # of the item of which this is a piece: words, and a hash that names it
+
+    def part(self) -> float:
+        return len(self.words) / self.whole[0] if self.whole[0] else 1.0
 
 
 @dataclass
@@ -95,25 +113,40 @@ def lcs(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
     return n - row.bit_count()
 
 
-def document_frequencies(docs: DataFrame, text: str, vocabulary: set[bytes]) -> tuple[int, Counter[bytes]]:
-    """(documents, in how many each word of the bounded vocabulary occurs), over all documents."""
-    order = sorted(vocabulary)
-    sent = session_of(docs).sparkContext.broadcast({w: i for i, w in enumerate(order)})
+def _words_in(rows: DataFrame) -> DataFrame:
+    """(w): the distinct words of a column of texts."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column(0).to_pylist() for w in words_of(t)}), pa.binary())], names=["w"])
+
+    return map_arrow(rows, "w binary", step, rows.columns[0]).distinct()
+
+
+def document_frequencies(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
+    """(w, n): in how many documents each of these words occurs, over all documents; null for w counts the documents."""
+    few = words.limit(MOST_WORDS + 1).count() <= MOST_WORDS
+    sent = session_of(docs).sparkContext.broadcast(frozenset(bytes(r.w) for r in words.collect()) if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(len(order), np.int64), 0
-        known = sent.value.keys()
+        seen: Counter[bytes] = Counter()
+        total = 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.binary()), pa.array([*seen.values(), total], pa.int64())], names=["w", "n"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
+                own = set(words_of(t))
+                seen.update(own if sent.value is None else sent.value & own)
                 total += 1
-                for w in known & set(words_of(t)):
-                    seen[sent.value[w]] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], total))], names=["w", "n"])
+                if len(seen) > HELD_WORDS:
+                    yield told()
+                    seen.clear()
+                    total = 0
+        yield told()
 
-    rows = docs.select(F.col(text).cast("string")).mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    counts = {r.w: r.n for r in rows}
-    return counts.get(-1, 0), Counter({order[w]: n for w, n in counts.items() if w >= 0})
+    counts = docs.select(F.col(text).cast("string")).mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    return counts if few else counts.join(words.unionByName(words.sparkSession.createDataFrame([(None,)], "w binary")).select(F.col("w").alias("k")), F.col("w").eqNullSafe(F.col("k"))).drop("k")
 
 
 def _passage_rows(items: list[Item]) -> list[tuple[int, list[bytes]]]:
@@ -196,9 +229,9 @@ def build_index(spark, items: list[Item], total: int, frequency: Counter[bytes])
     return Index(items, [masks_of(x.words) for x in items], vocabulary, weight, basis, passages, np.maximum(norms, 1e-6), np.array(owner), LEAST_COVER * mass, anchors)
 
 
-def matches(index: Index, text: str | None) -> list[tuple[int, float, float]]:
-    """(item, cosine, share of its words in common order) of the items that a text holds."""
-    words = words_of(text)
+def matches(index: Index, text: str | None | list[bytes]) -> list[tuple[int, float, float]]:
+    """(item, cosine, share of its words in common order) of the items that a text, or its words, hold."""
+    words = text if isinstance(text, list) else words_of(text)
     ids = np.fromiter(map(index.vocabulary.get, words, repeat(-1)), np.int64, len(words))
     at = np.flatnonzero(ids >= 0)
     if not len(at):
@@ -280,18 +313,40 @@ def answered(index: Index, i: int, words: list[bytes], place: int, length: int)
     return sum(w in here for w in wanted) >= LEAST_ANSWER * len(wanted)
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None) -> Iterator[Index]:
-    """An index for each block of benchmark items; items without words and repeated items are left out."""
+def _pieces(item_id: object, text: str, answer: str | None) -> list[Item]:
+    words = words_of(text)
+    n = -(-len(words) // PIECE_WORDS)
+    size, whole = -(-len(words) // max(n, 1)), (len(words), hash(tuple(words))) if n > 1 else (0, 0)
+    return [Item(item_id, words[a : a + size], words_of(answer) if n == 1 else [], whole) for a in range(0, len(words), max(size, 1))]
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None) -> Iterator[list[Index]]:
+    """The indexes of the blocks of each pass; items without words and repeated items are left out."""
     spark = session_of(docs)
     rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t"), (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("a")).where("t is not null")
-    blocks = -(-rows.count() // BLOCK_ITEMS)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
+    blocks = max(-(-size.n // BLOCK_ITEMS), -(-(size.b or 0) // BLOCK_BYTES))
+    if not blocks:
+        return
+    counts = Scratch(spark).save(document_frequencies(docs, text, _words_in(rows.select("t"))), "frequencies")
+    total = (counts.where("w is null").agg(F.sum("n")).first()[0] or 0) if size.n else 0
+    if not total:
+        return
+    held: list[Index] = []
     for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).distinct().orderBy("i", "t").collect()
-        items = [x for r in part if (x := Item(r.i, words_of(r.t), words_of(r.a))).words]
-        if items:
-            total, frequency = document_frequencies(docs, text, {w for x in items for w in x.words})
-            for block in _blocks(items) if total else ():
-                yield build_index(spark, block, total, frequency)
+        part = rows.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
+        found = [_pieces(r.i, r.t, r.a) for r in part.distinct().orderBy("i", "t").collect()]
+        pieces = [x for item in found for x in item]
+        if not pieces:
+            continue
+        own = counts.join(_words_in(part.select("t")), "w", "left_semi") if blocks > 1 else counts
+        frequency = Counter({bytes(r.w): r.n for r in own.where("w is not null").collect()})
+        held += [build_index(spark, block, total, frequency) for block in _blocks(pieces)]
+        if len(held) >= PASS_BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def _blocks(items: list[Item]) -> Iterator[list[Item]]:
@@ -307,26 +362,58 @@ def _blocks(items: list[Item]) -> Iterator[list[Item]]:
     yield block
 
 
+class Held:
+    """The blocks of a pass, as tasks see them: of several only the one in use is in memory."""
+
+    def __init__(self, spark, blocks: list[Index]) -> None:
+        self.sent = [spark.sparkContext.broadcast(b) for b in blocks]
+
+    def found(self, texts: list[str | None]) -> list[tuple[int, object, float, float]]:
+        """(place of the text, item id, cosine, share) of the items that texts hold."""
+        words = [words_of(t) for t in texts]
+        best: dict[tuple[int, object], tuple[float, float]] = {}
+        parts: dict[tuple[int, object, tuple[int, int]], list[tuple[float, float]]] = {}
+        for s in self.sent:
+            index = s.value
+            for n, w in enumerate(words):
+                for i, cosine, share in matches(index, w):
+                    item = index.items[i]
+                    if item.whole[0]:
+                        parts.setdefault((n, item.item_id, item.whole), []).append((share * item.part(), cosine))
+                    else:
+                        best[n, item.item_id] = max(best.get((n, item.item_id), (0.0, 0.0)), (share, cosine))
+            if len(self.sent) > 1 and hasattr(s, "_value"):
+                del s._value  # read again from the executor's disk when its turn comes
+        for (n, i, _), found in parts.items():  # pieces that make up the share which a whole item must have
+            if (share := sum(x for x, _ in found)) >= LEAST_LCS:
+                best[n, i] = max(best.get((n, i), (0.0, 0.0)), (share, max(c for _, c in found)))
+        return [(n, i, c, s) for (n, i), (s, c) in best.items()]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", answer: str | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, overlap): one row for each document row and benchmark item that it holds.
 
-    An item found word for word, but not by its windows, has cosine 1.  A null text holds nothing; rows with a null id are reported with it;
-    repeated rows are reported each.  An empty table on either side gives no rows.
+    An item found word for word, but not by its windows, has cosine 1.  Of the
+    texts of a repeated item id the one of the greatest overlap counts, then of
+    the greatest cosine.  A null text holds nothing; rows with a null id are
+    reported with it; repeated rows are reported each.  An empty table on either
+    side gives no rows.
     """
+    spark = session_of(docs)
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type, item_type = narrow.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, cosine double, overlap double"
-    out = session_of(docs).createDataFrame([], schema)
-    for index in indexes(narrow, benchmark, answer=answer):
-        sent = session_of(docs).sparkContext.broadcast(index)
+    out = spark.createDataFrame([], schema)
+    item_arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
+    for blocks in indexes(narrow, benchmark, answer=answer):
+        held = Held(spark, blocks)
 
-        def step(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch | None:
-            found = [(n, *x) for n, t in enumerate(batch.column(1).to_pylist()) for x in matches(sent.value, t)]
+        def step(batch: pa.RecordBatch, held=held) -> pa.RecordBatch | None:
+            found = held.found(batch.column(1).to_pylist())
             if not found:
                 return None
             row, item, cosine, share = zip(*found, strict=True)
-            ids = pa.array([sent.value.items[i].item_id for i in item])
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), ids, pa.array(cosine), pa.array(share)], names=["doc_id", "item_id", "cosine", "overlap"])
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item, item_arrow), pa.array(cosine), pa.array(share)], names=["doc_id", "item_id", "cosine", "overlap"])
 
         out = out.unionByName(map_arrow(narrow, schema, step, "text"))
     return out
@@ -336,11 +423,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """``docs`` without the rows that hold a benchmark item; columns stay."""
     out, at = docs, docs.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    for index in indexes(docs, benchmark, text, answer=answer):
-        sent = session_of(docs).sparkContext.broadcast(index)
+    for blocks in indexes(docs, benchmark, text, answer=answer):
+        held = Held(session_of(docs), blocks)
 
-        def step(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            return batch.filter(pa.array([not matches(sent.value, t) for t in batch.column(at).to_pylist()], pa.bool_()))
+        def step(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
+            gone = {n for n, *_ in held.found(batch.column(at).to_pylist())}
+            return batch.filter(pa.array([n not in gone for n in range(batch.num_rows)], pa.bool_()))
 
         out = map_arrow(out, schema, step, text)
     return out

@@ -257,6 +257,37 @@ def test_decontamination_of_many_items(spark):
     assert lost <= 2
 
 
+@pytest.mark.parametrize("blocks", [64, 1])
+def test_decontamination_in_blocks(spark, monkeypatch, blocks):
+    """Many blocks in one pass or in several, with very long items in pieces, repeated items and null texts: the same answers."""
+    monkeypatch.setattr(decontam, "PASS_BLOCKS", blocks)
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 5)
+    monkeypatch.setattr(decontam, "BLOCK_PASSAGES", 12)
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 300)
+    monkeypatch.setattr(decontam, "MOST_WORDS", 1_000_000 if blocks > 1 else 10)
+    rng = random.Random(31)
+    said = lambda n: [("the", "of")[rng.randrange(2)] if rng.random() < 0.2 else "w%d" % rng.randrange(40_000) for _ in range(n)]
+    items = [said(40) for _ in range(20)] + [said(2500), said(900)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(3, " ".join(items[3])), (50, None), (51, "")], "item_id long, text string")
+    texts = [" ".join([*said(60), *x, *said(60)]) for x in items] + [" ".join(said(400)) for _ in range(100)]
+    texts += [" ".join(items[20][:1200]), " ".join(w for w in items[20] if rng.random() > 0.1), None, ""]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {(i, i) for i in range(22)} | {(123, 20)}
+    kept = {r.doc_id for r in decontam.drop_contaminated(docs(spark, texts), bench).collect()}
+    assert kept == set(range(len(texts))) - {i for i, _ in got}
+
+
+def test_document_frequencies(spark, corpus, monkeypatch):
+    monkeypatch.setattr(decontam, "HELD_WORDS", 50)
+    texts = [*list(corpus.values())[:40], None, "", "of the of"]
+    words = sorted({w for t in texts[:5] for w in decontam.words_of(t)})
+    want = Counter(w for t in texts for w in set(decontam.words_of(t)) & set(words))
+    for most in (10**6, 1):
+        monkeypatch.setattr(decontam, "MOST_WORDS", most)
+        got = {None if r.w is None else bytes(r.w): r.n for r in decontam.document_frequencies(docs(spark, texts), "text", spark.createDataFrame([(bytearray(w),) for w in words], "w binary")).collect()}
+        assert got == {**want, None: len(texts)}
+
+
 def test_decontamination_of_short_items(spark):
     short = [(1, "Zyx"), (2, "quick  brown"), (3, "one, two three four"), (4, " .")]
     texts = ["a zyx, b", "the quick\nBrown fox", "brown quick", "One two three four five.", "one two x three four", None, "", "zyxa"]

@@ -84,5 +84,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "pipeline": pipeline,
 }
-#: No operator here can be written in SQL on whole tables; tests hold each against a brute-force version.
-ORACLE_SQL: dict[str, str] = {}
+_OP6 = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (SELECT r, i, md5(array_slice(b, i, i + 399)) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400)),
+hit AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+cut AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400, true) AS starts FROM hit),
+span AS (SELECT r, min(i) AS s, max(i) + 400 AS e FROM (SELECT r, i, sum(starts::INTEGER) OVER (PARTITION BY r ORDER BY i) AS k FROM cut) GROUP BY r, k),
+edge AS (SELECT r, e AS a, lead(s) OVER (PARTITION BY r ORDER BY s) AS z FROM (SELECT r, s, e FROM span UNION ALL SELECT r, 0, 1 FROM d)),
+kept AS (SELECT r, doc_id, any_value(b) AS b, count(*) - 1 AS n_spans, coalesce(string_agg(hex(array_slice(b, a, coalesce(z - 1, octet_length(b)))), '' ORDER BY a), '') AS k FROM edge JOIN d USING (r) GROUP BY r, doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, (octet_length(b) - octet_length(unhex(k)))::BIGINT AS n_removed, n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept
+"""
+_OP8 = r"""
+WITH logs AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+),
+turns AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM logs),
+shown AS (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS r FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(r) + len(regexp_extract_all(r, '<\\*\|')) + length(text) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
+FROM shown GROUP BY conv_id
+"""
+#: The other operators cannot be written in SQL on whole tables; tests hold each against a brute-force version.
+ORACLE_SQL: dict[str, str] = {"op6_suffix": _OP6, "op8_chat": _OP8}

@@ -7,6 +7,12 @@ leaves are visited is calibrated: a bounded set of queries is answered exactly
 against all vectors, and visits are widened until the leaves visited hold the
 wanted share of the true neighbours.
 
+Where the leaves of that tree are too large, as the sample bounds their number,
+trees are fitted in Spark on a bounded sample of each leaf, level by level, until
+leaves are small, so that their number grows with the rows.  Queries go down the
+levels together: each keeps its best bins of a level, as many as calibration
+says, and traverses their trees best bin first.
+
 Leaves are joined with their visitors in blocks of bounded size, so a leaf which
 holds a third of all vectors becomes many tasks.  Scores are cosines of the
 original vectors in double precision.
@@ -15,8 +21,10 @@ original vectors in double precision.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -87,22 +95,22 @@ class Tree:
                 todo += [(child, rows[label == j]) for j, child in enumerate(node.children)]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves that a best-bin-first traversal reaches from a unit vector."""
-        out: list[int] = []
+    def visit(self, q: np.ndarray, most: int) -> list[tuple[int, float]]:
+        """The first leaves that a best-bin-first traversal reaches from a unit vector, with the distances of their bins."""
+        out: list[tuple[int, float]] = []
         queue: list[tuple[float, int, Node | int]] = [(0.0, 0, self.root)]
         pushed = 0
         while queue and len(out) < most:
-            _, _, node = heapq.heappop(queue)
+            d, _, node = heapq.heappop(queue)
             while not isinstance(node, int):
                 far = 1 - node.centres @ q
                 best = int(far.argmin())
-                for j, d in enumerate(far.tolist()):
+                for j, x in enumerate(far.tolist()):
                     if j != best:
                         pushed += 1
-                        heapq.heappush(queue, (d, pushed, node.children[j]))
-                node = node.children[best]
-            out.append(node)
+                        heapq.heappush(queue, (x, pushed, node.children[j]))
+                node, d = node.children[best], float(far[best])
+            out.append((node, d))
         return out
 
 
@@ -160,6 +168,70 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _calibrated(places: list[int], recall: float) -> int:
+    """How many of the first leaves hold this share of the true neighbours, whose leaves are at these places."""
+    return int(np.sort(places)[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]) if places else 1
+
+
+def _deepened(scratch: Scratch, indexed: DataFrame, asked: DataFrame, bins: DataFrame, truth: DataFrame, dim: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(id, v, leaf) and (id, leaf, far) by smaller leaves: trees below the large ones, level by level.
+
+    ``truth`` has the calibrated queries with their true neighbours.  A leaf's
+    number is that of its parent times ``MOST_LEAVES`` and its own.
+    """
+    h = F.xxhash64(F.lit("sample"), "id")
+    low, span = -(1 << 63), float((1 << 64) - 1)
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("h", "ascending"), ("id", "ascending")]).slice(0, SAMPLE)
+        n = rows["n"][0].as_py()
+        tree = Tree(_unit(_matrix(rows["v"].combine_chunks(), dim)), min(MOST_LEAVES, max(1, n // LEAF_ROWS)))
+        return pa.table({"leaf": rows["leaf"].slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary()), "leaves": pa.array([tree.leaves], pa.int32())})
+
+    def place(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        own = np.zeros(rows.num_rows, np.int64)
+        if trees.num_rows and rows.num_rows:
+            own += pickle.loads(trees["tree"][0].as_py()).assign(_unit(_matrix(rows["v"].combine_chunks(), dim)))
+        return pa.table({"id": rows["id"], "v": rows["v"], "leaf": pa.array(rows["leaf"].to_numpy() * MOST_LEAVES + own, pa.int64())})
+
+    def descend(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        row, leaf, far = [], [], []
+        tree = pickle.loads(trees["tree"][0].as_py()) if trees.num_rows and rows.num_rows else None
+        units = _unit(_matrix(rows["v"].combine_chunks(), dim)) if tree else repeat(None)
+        for i, at, d, unit in zip(rows["id"].to_pylist(), rows["leaf"].to_pylist(), rows["far"].to_pylist(), units, strict=False):
+            for n, x in tree.visit(unit, tree.leaves) if tree else [(0, d)]:
+                row.append(i)
+                leaf.append(at * MOST_LEAVES + n)
+                far.append(x)
+        return pa.table({"id": pa.array(row, pa.int64()), "leaf": pa.array(leaf, pa.int64()), "far": pa.array(far, pa.float64())})
+
+    level = 0
+    while True:
+        level += 1
+        sizes = scratch.save(indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), f"sizes-{level}")
+        large = sizes.where(F.col("n") > 2 * LEAF_ROWS)
+        share = F.least(F.lit(1.0), F.lit(1.3 * SAMPLE) / F.col("n"))
+        sample = indexed.join(large, "leaf").where((h.cast("double") - low) / span <= share).select("leaf", "n", "id", "v", h.alias("h"))
+        trees = scratch.save(sample.groupBy("leaf").applyInArrow(fit, "leaf long, tree binary, leaves int").where("leaves > 1"), f"trees-{level}")
+        if not trees.limit(1).count():  # small leaves, or such as hold one vector over and over
+            return indexed, bins
+
+        def dealt(rows: DataFrame, by: DataFrame, fn, columns: str, size: int, trees: DataFrame = trees) -> DataFrame:
+            """Rows meet the tree of their leaf in parts of a bounded size."""
+            parts = by.select("leaf", F.ceil(F.col("n") / size).cast("int").alias("parts"))
+            mine = rows.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+            theirs = trees.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+            return mine.groupBy("leaf", "part").cogroup(theirs.groupBy("leaf", "part")).applyInArrow(fn, columns)
+
+        indexed = scratch.save(dealt(indexed, sizes, place, "id long, v array<double>, leaf long", BLOCK_ROWS), f"indexed-{level}")
+        asking = bins.join(asked, "id")
+        down = dealt(asking, bins.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), descend, "id long, leaf long, far double", BLOCK_QUERIES)
+        down = scratch.save(down.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("far", "leaf"))), f"down-{level}")
+        true_leaves = truth.join(indexed.select(F.col("id").alias("vec_id"), "leaf").join(truth.select("vec_id").distinct(), "vec_id", "left_semi"), "vec_id").select("id", "leaf")
+        places = [r.turn for r in down.join(true_leaves, ["id", "leaf"]).select("turn").collect()]
+        bins = down.where(F.col("turn") <= _calibrated(places, 1 - (1 - recall) / 3)).drop("turn")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows found, ties to smaller ids.
 
@@ -191,10 +263,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
         for b in batches:
             if b.num_rows:
                 leaf = sent.value.assign(_unit(_matrix(b.column(1), dim)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int32())], names=["id", "v", "leaf"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], names=["id", "v", "leaf"])
 
-    indexed = scratch.save(rows.mapInArrow(place, "id long, v array<double>, leaf int"), "indexed")
-    # calibration: exact neighbours of a bounded set of queries, with their leaves
+    indexed = scratch.save(rows.mapInArrow(place, "id long, v array<double>, leaf long"), "indexed")
+    # calibration: exact neighbours of a bounded set of queries, and the leaves that they are in
     trial = asked.orderBy(F.xxhash64(F.lit("trial"), "id"), "id").limit(CALIBRATION_QUERIES).collect()
     if not trial:
         return empty
@@ -214,43 +286,46 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
         if best:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _cut(best, k)], names=["query_id", "vec_id", "score", "leaf"])
 
-    truth = _best(indexed.mapInArrow(exact, "query_id long, vec_id long, score double, leaf int"), k).collect()
+    truth = _best(indexed.mapInArrow(exact, "query_id long, vec_id long, score double, leaf long"), k).collect()
     near: dict[int, list[int]] = {}
     for r in truth:
         near.setdefault(r.query_id, []).append(r.leaf)
     places = []
     for i, unit in zip(t_id.tolist(), _unit(t_v), strict=True):
-        turn = {leaf: n for n, leaf in enumerate(tree.visit(unit, tree.leaves), 1)}
+        turn = {leaf: n for n, (leaf, _) in enumerate(tree.visit(unit, tree.leaves), 1)}
         places += [turn[leaf] for leaf in near.get(i, [])]
-    visits = int(np.sort(places)[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]) if places else 1
-    # all queries visit so many leaves; neighbouring leaves form bundles, and a bundle and its visitors meet in blocks,
-    # so that a query has k rows from a bundle and not from each leaf
-    width = max(1, int(np.ceil(np.sqrt(tree.leaves))))
+    deep = count > 2 * LEAF_ROWS * tree.leaves
+    visits = _calibrated(places, 1 - (1 - recall) / 3 if deep else recall)
 
     def travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                row, bundle, leaves = [], [], []
+                row, leaf, far = [], [], []
                 for i, unit in zip(b.column(0).to_pylist(), _unit(_matrix(b.column(1), dim)), strict=True):
-                    held: dict[int, list[int]] = {}
-                    for leaf in sent.value.visit(unit, visits):
-                        held.setdefault(leaf // width, []).append(leaf)
-                    row += [i] * len(held)
-                    bundle += held
-                    leaves += held.values()
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(bundle, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["id", "bundle", "leaves"])
-
-    visited = scratch.save(asked.mapInArrow(travel, "id long, bundle int, leaves array<int>"), "visited")
-    bundled = indexed.withColumn("bundle", F.floor(F.col("leaf") / width).cast("int"))
+                    for n, d in sent.value.visit(unit, visits):
+                        row.append(i)
+                        leaf.append(n)
+                        far.append(d)
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(leaf, pa.int64()), pa.array(far, pa.float64())], names=["id", "leaf", "far"])
+
+    bins = asked.mapInArrow(travel, "id long, leaf long, far double")
+    if deep:
+        pairs = spark.createDataFrame([(r.query_id, r.vec_id) for r in truth], "id long, vec_id long")
+        indexed, bins = _deepened(scratch, indexed, asked, bins, pairs, dim, recall)
+    # neighbouring leaves form bundles, and a bundle and its visitors meet in blocks, so that a query has k rows from a bundle and not from each leaf
+    width = BLOCK_ROWS // LEAF_ROWS if deep else max(1, int(np.ceil(np.sqrt(tree.leaves))))
+    bundle = F.floor(F.col("leaf") / width).cast("long").alias("bundle")
+    visited = scratch.save(bins.groupBy("id", bundle).agg(F.collect_list("leaf").alias("leaves")), "visited")  # of a query's leaves only
+    bundled = indexed.withColumn("bundle", bundle)
     held = bundled.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("rows"))
     met = visited.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("visitors"))
-    blocks = F.broadcast(held.join(met, "bundle"))  # fewer rows than the tree has leaves, whose number is bounded
+    blocks = held.join(met, "bundle")
     part, every = (lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     coming = visited.join(blocks, "bundle").join(asked, "id").select("bundle", part("visitors").alias("qb"), every("rows").alias("vb"), "id", "v", "leaves")
     stored = bundled.join(blocks, "bundle").select("bundle", every("visitors").alias("qb"), part("rows").alias("vb"), "id", "v", "leaf")
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        best: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
+        best: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
         if left.num_rows and right.num_rows:
             q_id, q = left["id"].to_numpy(), _matrix(left["v"].combine_chunks(), dim)
             x_id, x, leaf = right["id"].to_numpy(), _matrix(right["v"].combine_chunks(), dim), right["leaf"].to_numpy()
@@ -262,7 +337,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "ve
                 mine = np.flatnonzero(leaf == n)
                 if len(mine):
                     found = block_top(q_id[who], q[who], x_id[mine], x[mine], k)
-                    best.append((*found, np.full(len(found[0]), n, np.int32)))
+                    best.append((*found, np.full(len(found[0]), n, np.int64)))
         q, x, s, _ = _cut(best, k)
         return pa.table([pa.array(q, pa.int64()), pa.array(x, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 

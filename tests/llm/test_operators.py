@@ -482,6 +482,30 @@ def test_neighbours_recall_beyond_calibration(spark, kind):
     assert len(asked) == 600 and sum(len(got[q] & set(b.tolist())) for q, b in zip(asked.tolist(), best, strict=True)) >= 0.9 * 5 * 600
 
 
+def test_neighbours_by_levels(spark, monkeypatch):
+    """Trees below trees: leaves stay small, recall holds, and rows that are all alike do not go deeper."""
+    for name, value in (("SAMPLE", 300), ("MOST_LEAVES", 6), ("LEAF_ROWS", 24), ("BLOCK_ROWS", 200), ("BLOCK_QUERIES", 50)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(23)
+    n, dim = 5000, 12
+    x = rng.normal(size=(60, dim))[rng.integers(0, 60, n)] + 0.4 * rng.normal(size=(n, dim))
+    x[1000:2500] = x[1000]
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    calls = []
+    deepened = ann._deepened
+    monkeypatch.setattr(ann, "_deepened", lambda *a: calls.append(found := deepened(*a)) or found)
+    got = defaultdict(dict)
+    for r in ann.search(vectors, vectors.where("vec_id % 20 = 0")).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    indexed, _ = calls[0]
+    sizes = sorted(r["count"] for r in indexed.groupBy("leaf").count().collect())
+    assert indexed.count() == n and sizes[-1] >= 1500 and sizes[-2] <= 150 and indexed.agg(F.max("leaf")).first()[0] >= 36
+    want = slow_search(list(range(n)), x, range(0, n, 20), 5)
+    hits = sum(s >= want[q][-1][1] - 1e-12 for q in want for _, s in got[q].values())
+    assert set(got) == set(want) and hits >= 0.9 * 5 * len(want)
+    assert got[1500] == {r: (999 + r, got[1500][r][1]) for r in range(1, 6)}
+
+
 def test_neighbours_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0]), (51, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(few, few.where("vec_id % 50 = 0")).collect())

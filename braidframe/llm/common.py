@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,9 +32,16 @@ def scratch_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    found = f"file://{tempfile.mkdtemp(prefix='braidframe-')}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return _local_dir()
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='braidframe-')}"
+
+
+#: Folders of scratch tables that this process has made.
+_MADE: list[str] = []
 
 
 class Scratch:
@@ -42,6 +50,7 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/braidframe-{uuid.uuid4().hex}"
+        _MADE.append(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -54,6 +63,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def purge(spark: SparkSession) -> None:
+    """Delete the scratch tables that operators of this process have made; results that were not read yet need them."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 

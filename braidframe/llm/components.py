@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, session_of
+from .common import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -55,5 +55,3 @@ def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.select(F.xxhash64("a", "b").alias("h")).agg(F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(20,0)"))).first()
     return (row[0], row[1])
 
-
-__all__ = ["connected_components", "session_of"]

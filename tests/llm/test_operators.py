@@ -175,6 +175,29 @@ def test_pipeline_drops_near_copies(spark, corpus):
     assert {r.doc_id for r in kept.collect()} == {order[r] for r in want}
 
 
+def test_purge(spark, tmp_path, monkeypatch):
+    from braidframe.llm import common
+
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(common, "_MADE", [])
+    Scratch(spark).save(spark.range(3), "t")
+    assert any(tmp_path.iterdir())
+    common.purge(spark)
+    assert not any(tmp_path.iterdir())
+
+
+def test_scratch_folder_of_local_runs(spark):
+    from types import SimpleNamespace
+
+    from braidframe.llm import common
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    session = lambda master: SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset))
+    assert common.scratch_dir(session("local[2]")).startswith("file://") and common.scratch_dir(session("local[2]")) == common.scratch_dir(session("local[4]"))
+    with pytest.raises(ValueError):
+        common.scratch_dir(session("spark://far:7077"))
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, None), (8, 8)]

@@ -10,7 +10,10 @@ part holds the same shingles in both: its content is the key (Arasu, Ganti and
 Kaushik's PartEnum, first level).  Sizes fall into classes which grow by 5/4; a
 set has the keys of its own class and of the next one, as a linked set lies
 there at most.  An empty part is a key only for sets that have no more filled
-parts than may differ, which are those that need it.
+parts than may differ, which are those that need it.  There are some parts more
+than that, so linked sets share several keys: as many as a set has filled parts
+beyond those that may differ.  Sets that merely have a passage in common share
+fewer, mostly one.
 
 Each distinct set is given its keys once.  Keys go through the shuffle in packed
 runs, and a task remembers the first set of each key only, so that a key which
@@ -18,7 +21,7 @@ very many sets have is streamed and never held.  Each set is compared with the
 one that it has most keys in common with; then, under keys whose sets these
 links have not joined, those of different components are.  Pairs are sifted by
 size and by the parities of counts, 512 of them where sets meet and as many as
-shingles for the pairs that are left.  Sift only rules out what cannot be linked;
+shingles for the pairs that are left.  Sifts only rule out what cannot be linked;
 verified are the texts themselves.
 """
 
@@ -69,25 +72,38 @@ def size_classes() -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _parts(hashes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(class, shingles that may differ, mixed hashes, their parts) in a set's class and the next one."""
+    bounds, mixed = size_classes(), _mix(hashes)
+    own = int(np.searchsorted(bounds, len(hashes), "right")) - 1
+    for level in (own, own + 1):
+        differ = 2 * (int(bounds[level + 1]) - 1) // 9
+        yield level, differ, mixed, (mixed >> np.uint64(20)) % np.uint64(differ + 1 + differ // 8)
+
+
 def part_keys(hashes: np.ndarray) -> np.ndarray:
     """The keys of a set; linked sets share one."""
     if not len(hashes):
         return np.zeros(0, np.uint64)
-    bounds, mixed, out = size_classes(), _mix(hashes), []
-    own = int(np.searchsorted(bounds, len(hashes), "right")) - 1
-    for level in (own, own + 1):
-        differ = 2 * (int(bounds[level + 1]) - 1) // 9
-        part = (mixed >> np.uint64(20)) % np.uint64(differ + 1)
+    out = []
+    for level, differ, mixed, part in _parts(hashes):
         order = np.argsort(part, kind="stable")
         filled, start = np.unique(part[order], return_index=True)
         content = np.add.reduceat(_mix(mixed[order] + _GOLD), start)
         if len(filled) <= differ:
-            rest = np.setdiff1d(np.arange(differ + 1, dtype=np.uint64), filled)
+            rest = np.setdiff1d(np.arange(differ + 1 + differ // 8, dtype=np.uint64), filled)
             filled, content = np.concatenate([filled, rest]), np.concatenate([content, np.zeros(len(rest), np.uint64)])
         out.append(_mix(_mix(content + _GOLD) ^ _mix(filled * np.uint64(1009) + np.uint64(level + 1))))
     return np.concatenate(out)
 
 
+def least_shared(hashes: np.ndarray) -> int:
+    """So many keys a set shares with any that it is linked to; one less than it has to be, as two keys may look alike."""
+    if not len(hashes):
+        return 1
+    return max(1, min(int(np.count_nonzero(np.bincount(part.astype(np.int64)))) - differ - 1 for _, differ, _, part in _parts(hashes)))
+
+
 def parities(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
     """So many bits, a power of two: whether an odd number of shingles falls on each; sets differ in as many shingles as bits at least."""
     return np.packbits((np.bincount((_mix(hashes) >> np.uint64(8) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
@@ -132,7 +148,7 @@ def _marks(hashes: list[np.ndarray]) -> dict[str, pa.Array]:
     bits = np.stack([parities(s).view(np.int64) for s in sets])
     return {
         "fp": _longs([signature(s) for s in sets]), "sim": _longs([simhash.simhash(h) for h in hashes]), "size": pa.array([len(s) for s in sets], pa.int64()),
-        "wide": pa.array([wide_parities(s) for s in sets], pa.binary()), **{p: pa.array(bits[:, i]) for i, p in enumerate(_P)},
+        "need": pa.array([least_shared(s) for s in sets], pa.int64()), "wide": pa.array([wide_parities(s) for s in sets], pa.binary()), **{p: pa.array(bits[:, i]) for i, p in enumerate(_P)},
     }
 
 
@@ -263,9 +279,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     scratch = Scratch(session_of(docs))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     columns = ", ".join(f"{p} bigint" for p in _P)
-    every = scratch.save(_with(narrow, "text", ("doc_id",), f"fp bigint, sim bigint, size bigint, wide binary, {columns}", _marks), "every")
+    every = scratch.save(_with(narrow, "text", ("doc_id",), f"fp bigint, sim bigint, size bigint, need bigint, wide binary, {columns}", _marks), "every")
     marked = scratch.save(every.select("doc_id", "fp"), "marked")
-    fps = scratch.save(every.groupBy("fp", "size", "wide", *_P).agg(F.min("doc_id").alias("least"), F.min("sim").alias("sim")), "fps")
+    fps = scratch.save(every.groupBy("fp", "size", "need", "wide", *_P).agg(F.min("doc_id").alias("least"), F.min("sim").alias("sim")), "fps")
     scratch.drop("every")
 
     def texts_of(asked: DataFrame) -> DataFrame:
@@ -295,7 +311,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links = verified(pairs, "links")
     roots = scratch.save(connected_components(links, scratch), "roots")
     # what these links have not joined: pairs of different components under a key
-    known = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "size", *_P, F.coalesce("root", "fp").alias("root"))
+    known = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "size", "need", *_P, F.coalesce("root", "fp").alias("root"))
     placed = shared.select("key", "fp").join(known, "fp")
     held = shared.select("key", "fp").join(known.select("fp", "root"), "fp").groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
     held = scratch.save(held.groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("n")).where("parts > 1").drop("parts"), "held")
@@ -303,9 +319,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     few, crowded = apart.where(F.col("n") <= bucket_limit), apart.where(F.col("n") > bucket_limit)
     rest = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key and x.fp < y.fp and x.root <> y.root and x.most = y.most and {_near('x', 'y')}"))
     more = crowded.where("root <> most").alias("x").join(crowded.alias("y"), F.expr(f"x.key = y.key and x.root <> y.root and {_near('x', 'y')}"))
-    ends = (F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    rest = rest.select(*ends).unionByName(more.select(*ends))
-    roots = connected_components(links.unionByName(verified(rest, "more")), scratch)
+    ends = (F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"), F.greatest("x.need", "y.need").alias("need"))
+    counted = rest.select(*ends).unionByName(more.select(*ends)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+    roots = connected_components(links.unionByName(verified(counted.where("n >= need").select("a", "b"), "more")), scratch)
     placed = scratch.save(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     found = placed.select("fp", "root").join(least, "root")

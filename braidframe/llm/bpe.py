@@ -25,14 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small_batches
+from .common import bound_batches, enter, forgettable, small_batches, trim
 
 #: Splitting pattern of byte-level BPE (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space beside a space.
 UNEVEN = regex.compile(r" \s|\s |^ | $").search
 #: Remembered stretches of a worker; the memory is emptied when it is full.
-MOST_PIECES = 250_000
+MOST_PIECES = 160_000
 #: Stretches longer than this are not remembered.
 LONGEST_KEPT = 256
 #: Bytes of texts whose new pieces are merged together, about.
@@ -282,6 +282,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+forgettable(codec.cache_clear)
+
+
 def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """The columns ``keep``, then n_tokens, ids_sha256, decoded_sha256 (and ids, decoded).
 
@@ -312,6 +315,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string()), *more], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe")
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
@@ -323,6 +327,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
                     held, size = [], 0
         if held:
             yield from step(held)
+        trim()
 
     bound_batches(docs.sparkSession)
     return narrow.mapInArrow(run, schema)

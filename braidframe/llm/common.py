@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -94,16 +97,47 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
+#: What operators keep in a Python worker from one batch to the next, by what throws it away.
+_FORGET: list[Callable[[], None]] = []
+_OWNER: list[str] = [""]
+
+
+def forgettable(clear: Callable[[], None]) -> None:
+    """Name a function that throws away what an operator keeps in a worker."""
+    _FORGET.append(clear)
+
+
+def enter(owner: str) -> None:
+    """Workers serve one operator after another: throw away what the last one kept."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for clear in _FORGET:
+            clear()
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library need not have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str | None = None, max_bytes: int = BYTES_PER_STEP, max_rows: int = ROWS_PER_STEP) -> DataFrame:
     """``mapInArrow`` which hands ``step`` batches of bounded text size."""
     bound_batches(df.sparkSession)
 
+    owner = f"{step.__module__}.{step.__qualname__}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)
         for batch in batches:
             parts = small_batches(batch, text, max_bytes, max_rows) if text else [batch]
             for part in parts:
                 if part.num_rows and (out := step(part)) is not None:
                     yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import forgettable, map_arrow
 
 ORDER = 4
 #: Bound of the labelled sample that the trees are made from: documents and bytes of each language, and characters of one document.
@@ -146,6 +146,7 @@ class Scorer:
 
 
 _SCORERS: dict[str, Scorer] = {}
+forgettable(_SCORERS.clear)
 
 
 def scorer_for(key: str, model: Model) -> Scorer:

@@ -18,8 +18,9 @@ fewer, mostly one.
 Each distinct set is given its keys once.  Keys go through the shuffle in packed
 runs, and a task remembers the first set of each key only, so that a key which
 very many sets have is streamed and never held.  Each set is compared with the
-one that it has most keys in common with; then, under keys whose sets these
-links have not joined, those of different components are.  Pairs are sifted by
+one that it has most keys in common with, and with others that it has enough of;
+then, under keys whose sets these links have not joined, with one set of the
+largest component; and then those of different components are compared.  Pairs are sifted by
 size and by the parities of counts, 512 of them where sets meet and as many as
 shingles for the pairs that are left.  Sifts only rule out what cannot be linked;
 verified are the texts themselves.
@@ -306,21 +307,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # parts: each set with the one that it shares most keys with
     total = fps.agg(F.sum("size")).first()[0] or 0
     shared = scratch.save(shared_keys(texts_of(fps).select("text"), max(32, -(-total // (2 * BUCKET_KEYS)))), "shared")
-    most = shared.where("fp <> first").groupBy("fp", "first").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.max_by("first", F.struct("n", "first")).alias("first"))
-    pairs = own.unionByName(across).unionByName(most.select(F.col("fp").alias("a"), F.col("first").alias("b")))
+    common = shared.where("fp <> first").groupBy("fp", "first").agg(F.count(F.lit(1)).alias("n"))
+    best = common.groupBy("fp").agg(F.max_by("first", F.struct("n", "first")).alias("best"))
+    close = common.join(best, "fp").join(fps.select("fp", "need"), "fp").where("first = best or n >= need")
+    pairs = own.unionByName(across).unionByName(close.select(F.col("fp").alias("a"), F.col("first").alias("b")))
     links = verified(pairs, "links")
-    roots = scratch.save(connected_components(links, scratch), "roots")
-    # what these links have not joined: pairs of different components under a key
-    known = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "size", "need", *_P, F.coalesce("root", "fp").alias("root"))
-    placed = shared.select("key", "fp").join(known, "fp")
-    held = shared.select("key", "fp").join(known.select("fp", "root"), "fp").groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
-    held = scratch.save(held.groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("n")).where("parts > 1").drop("parts"), "held")
-    apart = placed.join(held, "key")
-    few, crowded = apart.where(F.col("n") <= bucket_limit), apart.where(F.col("n") > bucket_limit)
+    roots = scratch.save(connected_components(links, scratch), "roots-0")
+
+    def apart(roots: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The sets of each key with their components, and the keys of several with the component that most are in and its least set."""
+        known = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "size", "need", *_P, F.coalesce("root", "fp").alias("root"))
+        held = shared.select("key", "fp").join(known.select("fp", "root"), "fp").groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"), F.min("fp").alias("hub"))
+        held = held.groupBy("key").agg(F.max_by(F.struct("root", "hub"), F.struct("rows", "root")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("n"))
+        held = scratch.save(held.where("parts > 1").select("key", F.col("most.root").alias("most"), F.col("most.hub").alias("hub"), "n"), name)
+        return shared.select("key", "fp").join(known, "fp").join(held, "key"), held
+
+    # under a key whose sets these links have not joined, all of other components are compared with one set of the largest
+    placed, held = apart(roots, "held-0")
+    hubs = held.select("key", F.col("hub").alias("fp")).join(fps.select("fp", "size", *_P), "fp")
+    star = placed.where("root <> most").alias("x").join(hubs.alias("y"), F.expr(f"x.key = y.key and {_near('x', 'y')}")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    links = scratch.save(links.unionByName(verified(star, "star")), "joined")
+    roots = scratch.save(connected_components(links, scratch), "roots-1")
+    # what is still apart: all pairs of different components under a key
+    placed, _ = apart(roots, "held-1")
+    few, crowded = placed.where(F.col("n") <= bucket_limit), placed.where(F.col("n") > bucket_limit)
     rest = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key and x.fp < y.fp and x.root <> y.root and x.most = y.most and {_near('x', 'y')}"))
     more = crowded.where("root <> most").alias("x").join(crowded.alias("y"), F.expr(f"x.key = y.key and x.root <> y.root and {_near('x', 'y')}"))
     ends = (F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"), F.greatest("x.need", "y.need").alias("need"))
-    counted = rest.select(*ends).unionByName(more.select(*ends)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+    counted = scratch.save(rest.select(*ends).unionByName(more.select(*ends)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")), "counted")
     roots = connected_components(links.unionByName(verified(counted.where("n >= need").select("a", "b"), "more")), scratch)
     placed = scratch.save(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -20,7 +20,9 @@ runs, and a task remembers the first set of each key only, so that a key which
 very many sets have is streamed and never held.  Each set is compared with the
 one that it has most keys in common with, and with others that it has enough of;
 then, under keys whose sets these links have not joined, with one set of the
-largest component; and then those of different components are compared.  Pairs are sifted by
+largest component; and then those of different components are compared: all pairs under keys
+of few sets; under crowded ones, sets that differ from a common hub in the same rare
+shingles (``apart_pairs``), and all pairs only where that costs less.  Pairs are sifted by
 size and by the parities of counts, 512 of them where sets meet and as many as
 shingles for the pairs that are left.  Sifts only rule out what cannot be linked;
 verified are the texts themselves.
@@ -33,7 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -43,6 +45,9 @@ from .components import connected_components
 SHINGLE_WORDS = 5
 #: Keys of one bucket, on average, and those a task looks at together.
 BUCKET_KEYS, CHUNK_KEYS = 1 << 20, 1 << 18
+#: Sets of a crowded key are compared pair by pair where one of them has so few crowded keys, as they meet no oftener, and
+#: the key so few sets, as comparing each with all costs less there than its differences from a hub; others by ``apart_pairs``.
+LIGHT_KEYS, PAIRED_SETS = 16, 1024
 #: Counts whose parities are kept beside each key.
 BITS = 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -272,6 +277,45 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb"), "a bigint, b bigint", step, "ta")
 
 
+def hub_differences(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """(most, fp, d, hub_size, odd): the ``d`` shingles that are in a set or in its hub ``most``, but not in both."""
+    x, y = (texts.select(F.col("fp").alias(c), F.col("text").alias(f"t{c}")) for c in ("fp", "most"))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        odd, sizes, hub, held = [], [], None, None
+        for most, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("most", "tfp", "tmost")), strict=True):
+            if held is None or most != hub:
+                hub, held = most, shingle_set(ty)
+            odd.append(np.setxor1d(shingle_set(tx), held, assume_unique=True).view(np.int64))
+            sizes.append(len(held))
+        columns = [pa.array([len(o) for o in odd], pa.int64()), pa.array(sizes, pa.int64()), pa.array(odd, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column("most"), batch.column("fp"), *columns], names=["most", "fp", "d", "hub_size", "odd"])
+
+    return map_arrow(crowd.select("most", "fp").join(x, "fp").join(y, "most").select("most", "fp", "tfp", "tmost"), "most bigint, fp bigint, d bigint, hub_size bigint, odd array<bigint>", step, "tfp")
+
+
+def ranked_differences(crowd: DataFrame, differ: DataFrame) -> DataFrame:
+    """Each set's differences from its hub by rank ``r``, 1 for the one that most sets of the hub have; those that no other set has are left out, and those of too low a rank.
+
+    Linked sets x and y have (dx + dy - (nx + ny) / 9) / 2 differences in common at
+    least; so many are 1 or more if either is ``far``, that is not linked to the hub
+    itself.  The rarest of them has at least that rank in both.  For a set alone, the
+    least that this can be over all partners follows from the triangle inequality.
+    """
+    each = differ.select("most", "fp", "d", "hub_size", F.explode("odd").alias("el"))
+    often = each.groupBy("most", "el").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rank = F.row_number().over(Window.partitionBy("most", "fp").orderBy(F.desc("n"), F.desc("el")))
+    ranked = each.join(often, ["most", "el"]).withColumn("r", rank).drop("n").join(crowd, ["most", "fp"]).withColumn("far", F.expr("9 * d > size + hub_size"))
+    return ranked.where("if(far, 10 * r >= 9 * d - size - hub_size, 18 * r >= 9 * d + hub_size - size)")
+
+
+def apart_pairs(ranked: DataFrame) -> DataFrame:
+    """(a, b), a < b, also repeatedly: the pairs of one hub's sets from different components that may be linked, unless both are linked to the hub."""
+    meet = "x.most = y.most and x.el = y.el and x.fp < y.fp and x.root <> y.root and (x.far or y.far)"
+    enough = "18 * least(x.r, y.r) >= 9 * (x.d + y.d) - x.size - y.size"
+    return ranked.alias("x").join(ranked.alias("y"), F.expr(f"{meet} and {enough} and {_near('x', 'y')}")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_limit: int = 64) -> DataFrame:
     """(doc_id, fingerprint, component_id, root): as ``simhash.near_duplicates``, by shingle sets; ``fingerprint`` is the set's signature.
 
@@ -290,11 +334,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         wanted = asked.select(F.col("least").alias("id"), "fp")
         return narrow.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("fp", "text")
 
+    def texts_for(pairs: DataFrame, name: str) -> DataFrame:
+        """(fp, text), one row for each set that the pairs' two columns name."""
+        asked = pairs.toDF("a", "b")
+        asked = asked.select(F.col("a").alias("fp")).unionByName(asked.select(F.col("b").alias("fp"))).distinct()
+        texts = _with(texts_of(fps.join(asked, "fp", "left_semi")), "text", ("fp", "text"), "own bigint", lambda all_: {"own": _longs([signature(np.unique(h)) for h in all_])})
+        return scratch.save(texts.where("own = fp").select("fp", "text").dropDuplicates(["fp"]), f"{name}-texts")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.save(_sifted(pairs, fps), f"{name}-pairs")
-        asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        texts = _with(texts_of(fps.join(asked, "fp", "left_semi")), "text", ("fp", "text"), "own bigint", lambda all_: {"own": _longs([signature(np.unique(h)) for h in all_])})
-        texts = scratch.save(texts.where("own = fp").select("fp", "text").dropDuplicates(["fp"]), f"{name}-texts")
+        texts = texts_for(pairs, name)
         found = scratch.save(_verified(pairs, texts), name)
         scratch.drop(f"{name}-texts")
         return found
@@ -328,14 +377,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     star = placed.where("root <> most").alias("x").join(hubs.alias("y"), F.expr(f"x.key = y.key and {_near('x', 'y')}")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     links = scratch.save(links.unionByName(verified(star, "star")), "joined")
     roots = scratch.save(connected_components(links, scratch), "roots-1")
-    # what is still apart: all pairs of different components under a key
+    # what is still apart: pairs of different components under a key of few sets, or with one that has few crowded keys
     placed, _ = apart(roots, "held-1")
-    few, crowded = placed.where(F.col("n") <= bucket_limit), placed.where(F.col("n") > bucket_limit)
+    few, crowded = placed.where(F.col("n") <= bucket_limit), scratch.save(placed.where(F.col("n") > bucket_limit), "crowded")
     rest = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key and x.fp < y.fp and x.root <> y.root and x.most = y.most and {_near('x', 'y')}"))
-    more = crowded.where("root <> most").alias("x").join(crowded.alias("y"), F.expr(f"x.key = y.key and x.root <> y.root and {_near('x', 'y')}"))
+    crowded = crowded.join(crowded.groupBy("fp").agg(F.count(F.lit(1)).alias("keys")), "fp").withColumn("light", F.expr(f"keys <= {LIGHT_KEYS} and n <= {PAIRED_SETS}"))
+    light, paired = crowded.where("light"), crowded.where(F.col("n") <= PAIRED_SETS)
+    more = light.alias("x").join(paired.alias("y"), F.expr(f"x.key = y.key and x.root <> y.root and (x.fp < y.fp or not y.light) and {_near('x', 'y')}"))
     ends = (F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"), F.greatest("x.need", "y.need").alias("need"))
-    counted = scratch.save(rest.select(*ends).unionByName(more.select(*ends)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")), "counted")
-    roots = connected_components(links.unionByName(verified(counted.where("n >= need").select("a", "b"), "more")), scratch)
+    counted = rest.select(*ends).unionByName(more.select(*ends)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
+    # the others: sets linked to the first set of the largest component under the key, and sets that differ from it alike
+    crowd = scratch.save(crowded.where("not light").select("most", "fp", "root", "size", *_P).distinct(), "crowd")
+    differ = scratch.save(hub_differences(crowd, texts_for(crowd.select("most", "fp"), "crowd")), "differ")
+    scratch.drop("crowd-texts")
+    ranked = scratch.save(ranked_differences(crowd, differ), "ranked")
+    to_hub = crowd.join(differ.drop("odd"), ["most", "fp"]).where("root <> most and 9 * d <= size + hub_size").select(F.col("fp").alias("a"), F.col("most").alias("b"))
+    met = scratch.save(counted.unionByName(to_hub).unionByName(apart_pairs(ranked).distinct()), "met")
+    scratch.drop("differ")
+    scratch.drop("ranked")
+    roots = connected_components(links.unionByName(verified(met, "more")), scratch)
     placed = scratch.save(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     found = placed.select("fp", "root").join(least, "root")

@@ -167,6 +167,43 @@ def test_shingle_components(spark, corpus, limit):
     assert jaccard.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("far", [0.004, 0.014])
+def test_sets_around_a_hub(spark, far):
+    rng = random.Random(3)
+    edited = lambda t, p: " ".join(w if rng.random() > p else f"e{rng.randrange(10**6)}" for w in t.split())
+    base = " ".join(f"w{rng.randrange(10**4)}" for _ in range(400))
+    copies = [edited(base, far) for _ in range(60)]
+    texts = [*copies, *(edited(t, p) for t in copies[:20] for p in (0.004, 0.02))]
+    sets = [jaccard.shingle_set(t) for t in texts]
+    names = [jaccard.signature(s) - (1 << 63) for s in sets]
+    bits = [jaccard.parities(s).view(np.int64).tolist() for s in sets]
+    crowd = spark.createDataFrame([(names[0], n, n, len(s), *b) for n, s, b in zip(names, sets, bits, strict=True)], "most long, fp long, root long, size long, " + ", ".join(f"{p} long" for p in jaccard._P))
+    differ = jaccard.hub_differences(crowd, spark.createDataFrame(list(zip(names, texts, strict=True)), "fp long, text string"))
+    made = [tuple(r) for r in jaccard.apart_pairs(jaccard.ranked_differences(crowd, differ)).collect()]
+    linked = lambda a, b: 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b))
+    close = [linked(s, sets[0]) for s in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if not (close[i] and close[j])]
+    want = {(min(names[i], names[j]), max(names[i], names[j])) for i, j in pairs if linked(sets[i], sets[j])}
+    assert want <= set(made)
+    # what sets of one key made, pair by pair and key by key, if they may be linked by size and parities
+    keys = [set(jaccard.part_keys(s).tolist()) for s in sets]
+    before = sum(len(keys[i] & keys[j]) for i, j in pairs if 9 * int(np.bitwise_count(np.array(bits[i]) ^ np.array(bits[j])).sum()) <= len(sets[i]) + len(sets[j]) and 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])))
+    assert far < 0.01 or 4 * len(made) <= before
+
+
+@pytest.mark.parametrize("paired", [0, 1024])
+def test_crowded_keys_by_either_way(spark, monkeypatch, paired):
+    monkeypatch.setattr(jaccard, "PAIRED_SETS", paired)
+    rng = random.Random(5)
+    edited = lambda t, p: " ".join(w if rng.random() > p else f"e{rng.randrange(10**6)}" for w in t.split())
+    base = " ".join(f"w{rng.randrange(10**4)}" for _ in range(300))
+    copies = [edited(base, 0.015) for _ in range(30)]
+    other = [f"{' '.join(base.split()[:40])} {' '.join(f'v{rng.randrange(10**6)}' for _ in range(250))}" for _ in range(8)]
+    texts = [*copies, *other, *(edited(t, 0.012) for t in [*copies[:10], *other])]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs(spark, texts), bucket_limit=4).collect()}
+    assert [got[i] for i in range(len(texts))] == slow_jaccard(texts)
+
+
 def test_pipeline_drops_near_copies(spark, corpus):
     import corpus_pipeline
 

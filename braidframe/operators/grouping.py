@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import functions as fn
 from .. import types as Y
@@ -183,6 +184,16 @@ def _windowed(table: Table, df: DataFrame, groups: list[tuple[Item, Value]], sec
                     made[other] = Value(F.col(f"{name}c{k}"), fn.result_type(other.name, argument), other.name not in ("count", "sum"))
                 df = variable_frame(df, todo, frame, partition, order)
                 return made[node]
+            by_value = frame.mode == "range" or (frame.mode == "groups" and first_order is not None and v is not None and _same(node.args[0], first_order[0]))
+            if by_value and (frame.low is not None or frame.high is not None):
+                alike = [node, *(c for c in every_call if c != node and c not in made and c.named == node.named and c.args == node.args)]
+                todo = []
+                for k, other in enumerate(dict.fromkeys(alike)):
+                    fn.check_argument(other.name, v, other)
+                    todo.append((other.name, v, f"{name}c{k}"))
+                    made[other] = Value(F.col(f"{name}c{k}"), fn.result_type(other.name, v), other.name not in ("count", "sum"))
+                df = _by_value(df, todo, frame, partition, order)
+                return made[node]
             df = _constant_frame(df, node.name, v, frame, partition, order, name)
             nullable = node.name not in ("count", "sum")
             made[node] = Value(F.col(name), fn.result_type(node.name, v), nullable)
@@ -232,10 +243,8 @@ def _constant_frame(df: DataFrame, name: str, v: Value | None, frame: Frame, par
         if name == "last" and frame.low is not None and frame.low > 0:
             column = F.when(F.count(F.lit(1)).over(w) == 0, F.last(v.col).over(whole_w)).otherwise(column)
         return df.withColumn(out, column)
-    if frame.mode == "groups":
-        df = with_runs(df, v, partition, sorts, f"{out}r")
-        return _by_number(df, name, v, frame, partition, F.col(f"{out}r"), order, out)
-    return _by_number(df, name, v, frame, partition, v.col, order, out)
+    df = with_runs(df, v, partition, sorts, f"{out}r")
+    return _by_number(df, name, v, frame, partition, F.col(f"{out}r"), order, out)
 
 
 def with_runs(df: DataFrame, v: Value, partition: list[Value], sorts: list[Column], out: str) -> DataFrame:
@@ -247,24 +256,73 @@ def with_runs(df: DataFrame, v: Value, partition: list[Value], sorts: list[Colum
     return df.withColumn(f"{out}n", new).withColumn(out, F.sum(f"{out}n").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop(f"{out}n")
 
 
+def _ends(frame: Frame) -> str:
+    """A constant frame's bounds in SQL."""
+    ends = []
+    for x, side in ((frame.low, "preceding"), (frame.high, "following")):
+        ends.append(f"unbounded {side}" if x is None else f"{-x!r} preceding" if x < 0 else f"{x!r} following" if x else "current row")
+    return " and ".join(ends)
+
+
+_SORTS = {"+": "asc nulls last", "+!": "asc nulls first", "-": "desc nulls first", "-!": "desc nulls last"}
+
+
+def _by_value(df: DataFrame, calls: list[tuple[str, Value, str]], frame: Frame, partition: list[Value], order: list[tuple[Value, str]]) -> DataFrame:
+    """A frame over the values of the first ordered column, for all ``calls`` (function, argument, output) at once.
+
+    Rows with one value have one frame.  They are aggregated first, so that the
+    window sorts a group's distinct values and not its rows; its results are
+    joined to the rows by value.  Bounds of a range are numeric whichever way
+    rows are ordered.
+    """
+    _, v, out = calls[0]
+    by_range, falling = frame.mode == "range", order[0][1].startswith("-")
+    keys = [f"{out}p{k}" for k in range(len(partition))]
+    for k, p in zip([*keys, f"{out}x"], [*(p.col for p in partition), v.col.cast("double") if by_range else v.col], strict=True):
+        df = df.withColumn(k, p)
+    ties = rank_key(order[1:]) if len(order) > 1 else None
+    pre: list[Column] = []
+    for i, (name, _, _) in enumerate(calls):
+        if name in ("first", "last"):
+            row = F.struct(v.col.alias("v"))
+            pre.append((F.first(row) if ties is None else (F.min_by if name == "first" else F.max_by)(row, ties)).alias(f"{out}s{i}"))
+        elif name == "avg":
+            pre += [F.sum(v.col if Y.is_decimal(v.type) else v.col.cast("double")).alias(f"{out}s{i}"), F.count(v.col).alias(f"{out}r{i}")]
+        else:
+            pre.append(fn.aggregate_column(name, v).alias(f"{out}s{i}"))
+    cells = df.groupBy(*(F.col(k).alias(f"{k}c") for k in [*keys, f"{out}x"])).agg(*pre)
+    by = f"partition by {', '.join(f'{k}c' for k in keys)} " if keys else ""
+    over = f"over ({by}order by {out}xc {'range' if by_range else _SORTS[order[0][1]] + ' rows'} between {_ends(frame)})"
+    found = []
+    for i, (name, _, column) in enumerate(calls):
+        t = fn.result_type(name, v)
+        if name in ("first", "last"):
+            made = F.expr(f"{'first' if (name == 'first') != (by_range and falling) else 'last'}({out}s{i}) {over}").getField("v")
+        elif name == "avg":
+            made = F.expr(f"sum({out}s{i}) {over}") / F.expr(f"nullif(sum({out}r{i}) {over}, 0)")
+            if Y.is_decimal(v.type):
+                made = made.cast(T.DecimalType(min(38, v.type.precision + 4), min(38, v.type.scale + 4)))  # as avg rounds
+        else:
+            made = F.expr(f"{name if name in ('min', 'max') else 'sum'}({out}s{i}) {over}")
+        found.append((F.coalesce(made.cast(t), F.lit(0).cast(t)) if name in ("count", "sum") else made.cast(t)).alias(column))
+    cells = cells.select(*(f"{k}c" for k in [*keys, f"{out}x"]), *found)
+    return df.join(cells, [F.col(k).eqNullSafe(F.col(f"{k}c")) for k in [*keys, f"{out}x"]], "left")
+
+
 def _by_number(df: DataFrame, name: str, v: Value, frame: Frame, partition: list[Value], number: Column, order: list[tuple[Value, str]], out: str) -> DataFrame:
-    """A range over a number that rises: bounds are numeric whichever way rows are ordered."""
-    df = df.withColumn(f"{out}x", number.cast("double")).withColumn(f"{out}y", v.col if v is not None else F.lit(1))
+    """A frame over the numbers of runs."""
+    df = df.withColumn(f"{out}x", number.cast("double")).withColumn(f"{out}y", v.col)
     keys = []
     for k, p in enumerate(partition):
         df = df.withColumn(f"{out}p{k}", p.col)
         keys.append(f"{out}p{k}")
-    low = "unbounded preceding" if frame.low is None else f"{-frame.low!r} preceding" if frame.low < 0 else f"{frame.low!r} following" if frame.low else "current row"
-    high = "unbounded following" if frame.high is None else f"{-frame.high!r} preceding" if frame.high < 0 else f"{frame.high!r} following" if frame.high else "current row"
-    over = f"over ({'partition by ' + ', '.join(keys) if keys else ''} order by {out}x range between {low} and {high})"
+    over = f"over ({'partition by ' + ', '.join(keys) if keys else ''} order by {out}x range between {_ends(frame)})"
     if name in ("first", "last"):
-        falling = frame.mode == "range" and order and order[0][1].startswith("-")
         ties = rank_key(order[1:]) if len(order) > 1 else None
         df = df.withColumn(f"{out}k", F.struct(F.col(f"{out}x").alias("x"), *([ties.alias("t")] if ties is not None else [])))
-        least = (name == "first") != bool(falling)
-        column = F.expr(f"{'min_by' if least else 'max_by'}({out}y, {out}k) {over}")
+        column = F.expr(f"{'min_by' if name == 'first' else 'max_by'}({out}y, {out}k) {over}")
     else:
-        t = {"count": "count({0})", "sum": f"sum(cast({{0}} as {fn.result_type('sum', v).simpleString()}))" if v is not None else "", "avg": "avg({0})" if v is not None and Y.is_decimal(v.type) else "avg(cast({0} as double))", "min": "min({0})", "max": "max({0})"}[name]
+        t = {"count": "count({0})", "sum": f"sum(cast({{0}} as {fn.result_type('sum', v).simpleString()}))", "avg": "avg({0})" if Y.is_decimal(v.type) else "avg(cast({0} as double))", "min": "min({0})", "max": "max({0})"}[name]
         column = fn.finish(name, v, F.expr(f"{t.format(f'{out}y')} {over}"))
     return df.withColumn(out, column)
 

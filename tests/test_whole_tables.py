@@ -2,6 +2,7 @@
 
 import pytest
 
+from braidframe.operators import Table
 from braidframe.plans.registry import QUERIES
 
 
@@ -13,3 +14,50 @@ def test_sorts_keep_all_rows(spark, tmp_path, name):
     low, falling = name.endswith("null_low"), name.startswith("sort_down")
     key = lambda r: ((r.k is None) != (low != falling), (0 if r.k is None else -r.k if falling else r.k), r.n_nationkey)
     assert [r.rn for r in sorted(rows, key=key)] == list(range(1, 1501))
+
+
+def _nodes(plan):
+    yield plan
+    below = plan.children()
+    for i in range(below.size()):
+        yield from _nodes(below.apply(i))
+
+
+def _windows_sort_all_rows(df):
+    """Whether rows reach a window without being aggregated first."""
+    windows = [n for n in _nodes(df._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
+    assert windows
+    return any(all(n.nodeName() != "Aggregate" for n in _nodes(w)) for w in windows)
+
+
+@pytest.mark.parametrize("flag", ["+", "+!", "-", "-!"])
+@pytest.mark.parametrize("mode", ["groups", "range"])
+@pytest.mark.parametrize("kind", ["int", "decimal(12,2)", "double"])
+def test_few_large_window_groups(spark, flag, mode, kind):
+    """A frame of values sorts a group's distinct values in one task, not its rows."""
+    data = [(i, (0, 1, None)[i % 3], None if i % 11 == 0 else i * 7 % 13) for i in range(900)]
+    table = Table(spark.createDataFrame(data, "id int, g int, v int").selectExpr("id", "g", f"cast(v as {kind}) v"), ("id",), ("id",))
+    names = ("count", "sum", "min", "max", "avg", "first", "last")
+    frame = f"{mode}:-2..1"
+    out = table.derive(f"{{g; {flag}v, id, {', '.join(f'{n}_ = {n}(v, {frame})' for n in names)}}}").df
+    assert not _windows_sort_all_rows(out)
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == 900
+    for g in (0, 1, None):
+        own = {r[0]: r[2] for r in data if r[1] == g}
+        falling, nulls_first = flag.startswith("-"), flag.endswith("!") != flag.startswith("-")
+        values = sorted({v for v in own.values() if v is not None}, reverse=falling)
+        values = [None, *values] if None in own.values() and nulls_first else [*values, None] if None in own.values() else values
+        for i, v in own.items():
+            at = values.index(v)
+            framed = values[max(0, at - 2) : at + 2] if mode == "groups" else [x for x in values if (x is None) == (v is None) and (v is None or v - 2 <= x <= v + 1)]
+            rows = [x for x in framed for y in own.values() if x == y]
+            there = [x for x in rows if x is not None]
+            want = (len(there), sum(there), min(there, default=None), max(there, default=None), sum(there) / len(there) if there else None, rows[0], rows[-1])
+            r = got[i]
+            assert r.v == v and (r.count_, r.sum_, r.min_, r.max_, r.first_, r.last_) == (*want[:4], *want[5:])
+            assert r.avg_ is None and want[4] is None or abs(float(r.avg_) - want[4]) < 1e-5
+
+
+def test_win_groups_windows_hold_distinct_values(spark):
+    assert not _windows_sort_all_rows(QUERIES["win_groups"](spark, "/root/testdata/sf0.001"))

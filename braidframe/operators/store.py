@@ -12,7 +12,7 @@ import random
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -292,12 +292,33 @@ def delete_scanned(scan: DataFrame, **states: State) -> dict[str, State]:
     return {name: state.delete(_parts(scan, name, state).select(*_columns(state.table.key))) for name, state in states.items()}
 
 
+#: A window over numbers holds so many of them at most, as a power of two.
+_BITS = 14
+
+
+def _running(df: DataFrame, bound: int) -> DataFrame:
+    """``__sum``: the sum of ``__w`` over all rows whose ``__x``, from 0 and below ``bound``, is not higher.
+
+    Numbers are cut into stretches, whose totals are summed up in the same way.
+    """
+    if bound <= 1 << _BITS:
+        return df.withColumn("__sum", F.sum("__w").over(Window.partitionBy(F.lit(0)).orderBy("__x")))
+    part = F.shiftright("__x", _BITS)
+    totals = _running(df.groupBy(part.alias("__x")).agg(F.sum("__w").alias("__w")), ((bound - 1) >> _BITS) + 1)
+    totals = totals.select(F.col("__x").alias("__p"), (F.col("__sum") - F.col("__w")).alias("__before"))
+    df = df.withColumn("__part", part).join(totals, F.col("__part") == F.col("__p"))
+    return df.withColumn("__sum", F.col("__before") + F.sum("__w").over(Window.partitionBy("__part").orderBy("__x"))).drop("__part", "__p", "__before")
+
+
 def automatic_key(df: DataFrame, name: str, low: int = 1, high: int = (1 << 63) - 1, seed: int | None = None, table: DataFrame | None = None) -> DataFrame:
     """Give each row its own key from ``low`` to ``high``, never zero, and none that ``table`` has.
 
     Rows are numbered through and the numbers are scattered over all keys one to
-    one, so no two rows draw the same.  More rows than keys are an error beside
-    a table; without one keys come round again, which ``insert`` refuses.
+    one, so no two rows draw the same.  Beside a table, row number i gets the
+    i-th number whose key the table does not have: with t the number of the
+    table's j-th key in order of numbers, from 0, that is i and one for each key
+    with t - j <= i.  More rows than keys are an error beside a table; without
+    one keys come round again, which ``insert`` refuses.
     """
     zero = low <= 0 <= high
     span = high - low + 1 - zero
@@ -316,22 +337,40 @@ def automatic_key(df: DataFrame, name: str, low: int = 1, high: int = (1 << 63)
         at = F.create_map(*starts)[F.shiftright("__n", 33)] if starts else F.lit(0)
         return rows.withColumn("__n", at.cast("long") + F.col("__n").bitwiseAND((1 << 33) - 1)), total
 
-    def keyed(rows: DataFrame, start: int) -> DataFrame:
-        whole = lambda x: F.lit(str(x)).cast(wide)
-        key = ((F.col("__n").cast(wide) + whole(start)) * whole(step) + whole(shift)) % whole(span) + whole(low)
-        return rows.withColumn(name, (F.when(key >= 0, key + 1).otherwise(key) if zero else key).cast("long")).drop("__n")
+    whole = lambda x: F.lit(str(x)).cast(wide)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        key = (F.col("__n").cast(wide) * whole(step) + whole(shift)) % whole(span) + whole(low)
+        return rows.withColumn(name, (F.when(key >= 0, key + 1).otherwise(key) if zero else key).cast("long")).select(*_columns(columns))
+
+    def numbers(keys: DataFrame) -> DataFrame:
+        """What ``keyed`` makes these keys of, as ``__x``; those that it does not make are left out."""
+        back = pow(step, -1, span)
+        keys = keys.select(F.col(f"`{name}`").cast(wide).alias("k")).where((F.col("k") >= whole(low)) & (F.col("k") <= whole(high)))
+        if zero:
+            keys = keys.where("k <> 0").withColumn("k", F.when(F.col("k") > 0, F.col("k") - 1).otherwise(F.col("k")))
+        keys = keys.select(((F.col("k") - whole(low) - whole(shift) + whole(span)) % whole(span)).cast(wide).alias("k"))
+        # in two halves, as the product of two 64-bit numbers has more than 38 digits
+        high_half = (F.expr("k div 4294967296").cast(wide) * whole(back)) % whole(span)
+        return keys.select(((high_half * whole(1 << 32) + F.col("k") % whole(1 << 32) * whole(back)) % whole(span)).cast(wide).alias("__x")).distinct()
 
+    columns = df.columns if name in df.columns else [*df.columns, name]
     left, n = numbered(df.drop(name))
-    start, out, columns = 0, None, df.columns if name in df.columns else [*df.columns, name]
-    while True:
-        if table is not None and start + n > span:
+    if table is None:
+        return keyed(left)
+    taken = table.count()
+    if n + taken > span:
+        taken = numbers(table).count() if span > 0 else 0
+        if n + taken > span:
             raise KeyConflict("too few keys")
-        made = keyed(left, start)
-        out = made if table is None else _on(made, table, "left_anti", (name,)) if out is None else out.unionByName(_on(made, table, "left_anti", (name,)))
-        if table is None or not _on(made, table, "left_semi", (name,)).take(1):
-            return out.select(*_columns(columns))
-        start += n
-        left, n = numbered(_on(made, table, "left_semi", (name,)).drop(name))
+    if not n:
+        return keyed(left)
+    bound = n + taken  # no row gets a number beyond
+    met = numbers(table).where(F.col("__x") < whole(bound)).select(F.col("__x").cast("long").alias("__x"), F.lit(1).cast("long").alias("__w"))
+    ahead = _running(met, bound).groupBy((F.col("__x") - F.col("__sum") + 1).alias("__x")).agg(F.sum("__w").alias("__w")).where(F.col("__x") < n)
+    rows = left.withColumn("__x", F.col("__n")).withColumn("__w", F.lit(0).cast("long"))
+    made = _running(rows.unionByName(ahead, allowMissingColumns=True), n).where("__n is not null")
+    return keyed(made.withColumn("__n", F.col("__n") + F.col("__sum")))
 
 
 def sorter(batches: Iterable[DataFrame], key: Iterable[str], reverse: bool = False) -> DataFrame:

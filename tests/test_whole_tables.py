@@ -1,8 +1,13 @@
 """Registered queries on tables larger than the driver's."""
 
+import math
+import random
+
 import pytest
 
-from braidframe.operators import Table
+from braidframe.errors import KeyConflict
+from braidframe.operators import Table, store
+from braidframe.operators.store import automatic_key
 from braidframe.plans.registry import QUERIES
 
 
@@ -61,3 +66,31 @@ def test_few_large_window_groups(spark, flag, mode, kind):
 
 def test_win_groups_windows_hold_distinct_values(spark):
     assert not _windows_sort_all_rows(QUERIES["win_groups"](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("bits", [14, 5])
+@pytest.mark.parametrize("low, high", [(1, 899), (-450, 449), (-(1 << 63), (1 << 63) - 1)])
+def test_automatic_keys_beside_a_table_in_one_pass(spark, monkeypatch, bits, low, high):
+    """However many numbers are taken, rows get the first free ones without another join for each try."""
+    monkeypatch.setattr(store, "_BITS", bits, raising=False)
+    zero, draw = low <= 0 <= high, random.Random(3)
+    span = high - low + 1 - zero
+    step = next(x for x in iter(lambda: draw.randrange(1, span + 1), None) if math.gcd(x, span) == 1)
+    shift = draw.randrange(span)
+    keys = [(i * step + shift) % span + low for i in range(min(span, 1200))]
+    keys = [k + 1 if zero and k >= 0 else k for k in keys]
+    taken = set(keys[:700:2]) | set(keys[40:80])
+    table = spark.createDataFrame([(k,) for k in [*taken, keys[0], 0, None]], "k long")
+    out = automatic_key(spark.range(500).withColumnRenamed("id", "v"), "k", low, high, seed=3, table=table)
+    assert sum(n.nodeName() == "Join" for n in _nodes(out._jdf.queryExecution().optimizedPlan())) <= (0 if bits == 14 else 4)
+    rows = out.collect()
+    assert out.columns == ["v", "k"] and sorted(r.v for r in rows) == list(range(500))
+    assert {r.k for r in rows} == set([k for k in keys if k not in taken][:500])
+
+
+def test_automatic_keys_fill_all_that_are_free(spark):
+    rows = spark.range(60).selectExpr("id v", "id k")
+    table = spark.range(-20, 21).withColumnRenamed("id", "k")
+    assert sorted(r.k for r in automatic_key(rows, "k", -50, 50, table=table).collect()) == [k for k in range(-50, 51) if abs(k) > 20]
+    with pytest.raises(KeyConflict):
+        automatic_key(rows, "k", -50, 49, table=table)

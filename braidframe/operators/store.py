@@ -306,7 +306,8 @@ def _running(df: DataFrame, bound: int) -> DataFrame:
     part = F.shiftright("__x", _BITS)
     totals = _running(df.groupBy(part.alias("__x")).agg(F.sum("__w").alias("__w")), ((bound - 1) >> _BITS) + 1)
     totals = totals.select(F.col("__x").alias("__p"), (F.col("__sum") - F.col("__w")).alias("__before"))
-    df = df.withColumn("__part", part).join(totals, F.col("__part") == F.col("__p"))
+    # broadcasting the rows, whose size may be guessed too low, would leave all of them to the one task of the totals
+    df = df.withColumn("__part", part).join(totals.hint("merge"), F.col("__part") == F.col("__p"))
     return df.withColumn("__sum", F.col("__before") + F.sum("__w").over(Window.partitionBy("__part").orderBy("__x"))).drop("__part", "__p", "__before")
 
 
